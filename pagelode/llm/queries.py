@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, secret_ledger
+from pagelode.llm import bpe, secret_ledger, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -56,3 +56,14 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_bpe_round_trip"] = op5_bpe_round_trip
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, and whether they pass a context of 2048."""
+    import public_tokenizers
+
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+QUERIES["op8_token_counts"] = op8_token_counts
