@@ -15,6 +15,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -22,7 +23,10 @@ from pyspark.sql import types as T
 from pagelode.llm.arrow_batches import by_size
 
 #: Words whose ids a worker keeps; beyond it the store is emptied and filled anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
+#: Rows whose decoded texts stand in memory at once.
+DECODED_ROWS = 500
+_NONE = np.zeros(0, np.int32)
 
 
 _COMMON = regex.compile(r"[\x00-\u036f\u2000-\u206f\u20a0-\u20ac]*+\Z").match
@@ -196,11 +200,17 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(held.value)
         for batch in by_size(batches, text):
-            split = [bpe.split(t) if t else [] for t in batch.column(text).to_pylist()]
-            ids = bpe.learn(set().union(*split))
-            flat = [b"".join([ids[w] for w in words]) for words in split]
-            ends = np.cumsum([0, *map(len, flat)]) // 4
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(flat), dtype="<i4")))
+            place: dict[str, int] = {}
+            rows = [np.array([place.setdefault(w, len(place)) for w in bpe.split(t)], dtype=np.int32) if t else _NONE for t in batch.column(text).to_pylist()]
+            ids = bpe.learn(set(place))
+            table = [ids[w] for w in place]
+            sizes = np.array([len(x) // 4 for x in table] or [0])
+            starts, words = np.cumsum(sizes) - sizes, np.concatenate(rows)
+            n = sizes[words]
+            ends = np.cumsum(n)
+            values = np.frombuffer(b"".join(table), dtype="<i4")[np.repeat(starts[words] - (ends - n), n) + np.arange(n.sum())]
+            stops = np.r_[0, ends][np.cumsum([0, *map(len, rows)])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(stops), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column(key), lists], [key, "ids"])
 
     out = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -214,14 +224,16 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = load(held.value).names
-        for batch in batches:
-            lists = batch.column(ids)
-            values, ends = np.asarray(lists.values, dtype=np.int64), np.asarray(lists.offsets)
-            texts = []
-            for row, there in enumerate(lists.is_valid().to_pylist()):
-                own = values[ends[row] : ends[row + 1]] if there else values[:0]
-                known = own[(own >= 0) & (own < len(names))]
-                texts.append(" ".join([x for x in names[known] if x is not None]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODED_ROWS):
+                batch = whole.slice(at, DECODED_ROWS)
+                lists = batch.column(ids)
+                values, ends = np.asarray(pa.compute.fill_null(lists.values, -1)), np.asarray(lists.offsets)
+                texts = []
+                for row, there in enumerate(lists.is_valid().to_pylist()):
+                    own = values[ends[row] : ends[row + 1]] if there else values[:0]
+                    known = own[(own >= 0) & (own < len(names))]
+                    texts.append(" ".join([x for x in names[known] if x is not None]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
