@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, secret_ledger, simhash, token_counts
+from pagelode.llm import bpe, quality_trees, secret_ledger, simhash, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -76,3 +76,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_simhash"] = op6_simhash
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by trees that the labels outside the held-out third taught."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality_trees.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_trees.score(docs, trees)
+    return scored.select("doc_id", quality_trees.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op3_quality"] = op3_quality
