@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, quality_trees, secret_ledger, simhash, token_counts
+from pagelode.llm import bpe, decontaminate, quality_trees, secret_ledger, simhash, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -87,3 +87,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_quality"] = op3_quality
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak of a benchmark item into a document."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op1_decontamination"] = op1_decontamination
