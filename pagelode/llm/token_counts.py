@@ -16,20 +16,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagelode.llm.arrow_batches import by_size
 from pagelode.llm.bpe import load, tokenizer_file
 
 #: Bytes of text and rows of a block of documents.
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 50_000
+#: Rows of blocks and pre-tokens whose products are added up at once.
+FOLD_ROWS = 100_000
 
 
 def frequencies(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, word, docs, freqs, keys, sizes): a row for each block and pre-token, with the steps
-    between its documents' places in the block (uint16) and its frequencies in them (bytes; larger
-    ones are split), and a row for each block, of a word that no text can give, with its keys and
-    text sizes."""
+    """(block, word, posts, about): a row for each block and pre-token with three bytes for each of its
+    documents, the step from the place before in the block (two bytes) and the frequency (larger ones
+    are split), and a row for each block, of a word that no text can give, about its keys and text
+    sizes."""
     held = tokenizer_file(docs, path)
+    kind = docs.schema[key].dataType
+    about = T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType()))])
+    out = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.StringType()), T.StructField("posts", T.BinaryType()), T.StructField("about", about)])
+    arrow = to_arrow_type(about)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, number = load(held.value), TaskContext.get().partitionId() << 32
@@ -41,25 +48,22 @@ def frequencies(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                 of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
                 pairs, n = np.unique(np.concatenate(rows) << 16 | of, return_counts=True)
                 parts = -(-n // 255)
-                last = np.cumsum(parts) - 1
-                freqs = np.full(int(parts.sum()), 255, dtype=np.uint8)
-                freqs[last] = n - (parts - 1) * 255
+                freqs = np.full(int(parts.sum()), 255)
+                freqs[np.cumsum(parts) - 1] = n - (parts - 1) * 255
                 pairs = np.repeat(pairs, parts)
                 words, of = pairs >> 16, pairs & 0xFFFF
                 starts = np.searchsorted(words, np.arange(len(place) + 1))
                 steps = np.diff(of, prepend=0)
                 steps[starts[:-1]] = of[starts[:-1]]
-                binary = lambda values, width: pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer((starts * width).astype(np.int32)), pa.py_buffer(values.tobytes())])
-                blank = lambda kind: pa.nulls(len(place), pa.list_(kind))
+                posts = np.stack([steps & 255, steps >> 8, freqs], axis=1).astype(np.uint8)
                 sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).cast(pa.int64())
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                names = ["block", "word", "docs", "freqs", "keys", "sizes"]
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([f" {number}"]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), one(batch.column(key)), one(sizes)], names)
+                head = pa.array([{"keys": batch.column(key).to_pylist(), "sizes": sizes.to_pylist()}], arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([f" {number}"]), pa.array([None], pa.binary()), head], out.names)
                 if place:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), number)), pa.array(list(place), pa.string()), binary(steps.astype("<u2"), 2), binary(freqs, 1), blank(batch.column(key).type), blank(pa.int64())], names)
+                    binary = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer((starts * 3).astype(np.int32)), pa.py_buffer(posts.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), number)), pa.array(list(place), pa.string()), binary, pa.nulls(len(place), arrow)], out.names)
                 number += 1
 
-    out = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.StringType()), T.StructField("docs", T.BinaryType()), T.StructField("freqs", T.BinaryType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), T.StructField("sizes", T.ArrayType(T.LongType()))])
     return docs.select(key, text).mapInArrow(run, out)
 
 
@@ -87,25 +91,52 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     rows = frequencies(docs, path, key, text).repartition("word")
     # every column is counted, so that Spark reads the exchange of rows twice and makes it once
     seen = rows.groupBy("word").agg(*[F.count(c).alias(c) for c in rows.columns if c != "word"])
-    pieces = count_pieces(seen.where("block + docs + freqs > 0 and keys + sizes = 0"), path)
-    joined = rows.join(pieces, "word", "left").select("block", "docs", "freqs", "pieces", "keys", "sizes")
-    kind = docs.schema[key]
+    pieces = count_pieces(seen.where("block + posts > 0 and about = 0"), path)
+    joined = rows.join(pieces, "word", "left").select("block", "posts", "pieces", "about")
+    sums = T.StructType([rows.schema["block"], T.StructField("docs", T.BinaryType()), T.StructField("sums", T.BinaryType()), rows.schema["about"]])
+    arrow, kind = to_arrow_type(rows.schema["about"].dataType), docs.schema[key]
+
+    def added(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """A row for each block: the documents that its words here occur in, and their tokens."""
+        own = pa.Table.from_batches(tables)
+        posts = own.column("posts").combine_chunks()
+        n = np.diff(np.asarray(posts.buffers()[1], dtype=np.uint8).view(np.int32)[posts.offset : posts.offset + len(posts) + 1]) // 3
+        raw = np.frombuffer(b"".join(posts.to_pylist()), dtype=np.uint8).reshape(-1, 3).astype(np.int64)
+        run = np.cumsum(raw[:, 0] | raw[:, 1] << 8)
+        starts = np.cumsum(n) - n
+        before = np.r_[0, run][starts]
+        blocks, block = np.unique(own.column("block").to_numpy(), return_inverse=True)
+        pairs, at = np.unique(np.repeat(block, n) << 16 | run - np.repeat(before, n), return_inverse=True)
+        total = np.zeros(len(pairs), np.int64)
+        np.add.at(total, at, raw[:, 2] * np.repeat(own.column("pieces").to_numpy().astype(np.int64), n))
+        cuts = np.searchsorted(pairs >> 16, np.arange(len(blocks) + 1)).tolist()
+        docs_of, sums_of = (pairs & 0xFFFF).astype("<u2"), total.astype("<u4")
+        split = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(blocks), split(docs_of), split(sums_of), pa.nulls(len(blocks), arrow)], sums.names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, many = [], 0
+        for batch in batches:
+            heads = batch.filter(pa.compute.is_valid(batch.column("about")))
+            if heads.num_rows:
+                none = pa.nulls(heads.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([heads.column("block"), none, none, heads.column("about")], sums.names)
+            rest = batch.filter(pa.compute.is_null(batch.column("about")))
+            waiting, many = [*waiting, rest], many + rest.num_rows
+            if many >= FOLD_ROWS:
+                yield added(waiting)
+                waiting, many = [], 0
+        if many:
+            yield added(waiting)
 
     def total(group: pa.Table) -> pa.Table:
-        own = group.filter(pa.compute.is_valid(group.column("keys")))
-        keys, sizes = own.column("keys").combine_chunks().values, own.column("sizes").combine_chunks().values
-        sums = np.zeros(len(keys), dtype=np.int64)
-        rest = group.filter(pa.compute.is_null(group.column("keys")))
-        if rest.num_rows:
-            freqs = rest.column("freqs").to_pylist()
-            steps = np.frombuffer(b"".join(rest.column("docs").to_pylist()), dtype="<u2").astype(np.int64)
-            n = np.array([len(x) for x in freqs])
-            starts = np.cumsum(n) - n
-            run = np.cumsum(steps)
-            at = run - np.repeat(run[starts] - steps[starts], n)
-            products = np.frombuffer(b"".join(freqs), dtype=np.uint8) * np.repeat(rest.column("pieces").to_numpy().astype(np.int64), n)
-            np.add.at(sums, at, products)
-        return pa.table([keys, sizes, pa.array(sums)], names=[kind.name, "n_bytes", "n_tokens"])
+        heads = group.column("about").combine_chunks().drop_null()
+        keys, sizes = heads.field("keys").flatten(), heads.field("sizes").flatten()
+        n = np.zeros(len(keys), dtype=np.int64)
+        for docs_of, sums_of in zip(group.column("docs").to_pylist(), group.column("sums").to_pylist()):
+            if docs_of is not None:
+                n[np.frombuffer(docs_of, dtype="<u2")] += np.frombuffer(sums_of, dtype="<u4")
+        return pa.table([keys, sizes, pa.array(n)], names=out.names)
 
     out = T.StructType([kind, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return joined.groupBy("block").applyInArrow(total, out)
+    return joined.mapInArrow(fold, sums).groupBy("block").applyInArrow(total, out)
