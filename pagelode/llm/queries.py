@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, decontaminate, pivot_search, quality_trees, secret_ledger, simhash, token_counts
+from pagelode.llm import backoff_lm, bpe, decontaminate, pivot_search, quality_trees, secret_ledger, simhash, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -113,3 +113,25 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram stupid-backoff score of every document by the counts of all documents."""
+    scored = backoff_lm.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
+QUERIES["op2_lm_score"] = op2_lm_score
+ORACLES["op2_lm_score"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, [w for w in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if w <> ''] AS ws FROM documents),
+t AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),
+b AS (SELECT r, w, CASE WHEN i > 1 THEN ws[i - 1] END AS p FROM t),
+c1 AS (SELECT w, count(*) AS c FROM b GROUP BY w),
+c2 AS (SELECT p, w, count(*) AS c FROM b WHERE p IS NOT NULL GROUP BY p, w),
+n AS (SELECT count(*) AS n FROM b),
+s AS (
+  SELECT b.r, CASE WHEN c2.c >= 2 THEN ln(c2.c) - ln(cp.c) ELSE ln(c1.c) - ln(n.n) + CASE WHEN b.p IS NULL THEN 0 ELSE ln(0.4) END END AS s
+  FROM b CROSS JOIN n JOIN c1 ON b.w = c1.w LEFT JOIN c2 ON b.p = c2.p AND b.w = c2.w LEFT JOIN c1 AS cp ON b.p = cp.w),
+g AS (SELECT r, sum(s) AS s FROM s GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score FROM d LEFT JOIN g USING (r)
+"""
