@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import backoff_lm, bpe, decontaminate, pivot_search, quality_trees, secret_ledger, simhash, token_counts
+from pagelode.llm import backoff_lm, bpe, compact_windows, decontaminate, pivot_search, quality_trees, secret_ledger, simhash, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -135,3 +135,11 @@ s AS (
 g AS (SELECT r, sum(s) AS s FROM s GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score FROM d LEFT JOIN g USING (r)
 """
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents nearly share."""
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_substring_dedup"] = op10_substring_dedup
