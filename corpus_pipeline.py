@@ -44,8 +44,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every document."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.decode(bpe.encode(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

@@ -26,6 +26,8 @@ from pagelode.llm.arrow_batches import by_size
 KEPT_WORDS = 200_000
 #: Rows whose decoded texts stand in memory at once.
 DECODED_ROWS = 500
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 4 << 20
 _NONE = np.zeros(0, np.int32)
 
 
@@ -189,31 +191,48 @@ def tokenizer_file(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) for every row of docs, in one pass without a shuffle.
+def _encoded(bpe: WordBpe, texts: pa.Array) -> pa.ListArray:
+    """Ids of each text."""
+    place: dict[str, int] = {}
+    rows = [np.array([place.setdefault(w, len(place)) for w in bpe.split(t)], dtype=np.int32) if t else _NONE for t in texts.to_pylist()]
+    ids = bpe.learn(set(place))
+    table = [ids[w] for w in place]
+    sizes = np.array([len(x) // 4 for x in table] or [0])
+    starts, words = np.cumsum(sizes) - sizes, np.concatenate(rows)
+    n = sizes[words]
+    ends = np.cumsum(n)
+    values = np.frombuffer(b"".join(table), dtype="<i4")[np.repeat(starts[words] - (ends - n), n) + np.arange(n.sum())]
+    stops = np.r_[0, ends][np.cumsum([0, *map(len, rows)])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(stops), pa.array(values))
+
+
+def _decoded(bpe: WordBpe, lists: pa.ListArray) -> pa.Array:
+    """The strings of each row's ids, joined by a space."""
+    values, ends = np.asarray(pa.compute.fill_null(lists.values, -1)), np.asarray(lists.offsets)
+    texts = []
+    for row, there in enumerate(lists.is_valid().to_pylist()):
+        own = values[ends[row] : ends[row + 1]] if there else values[:0]
+        known = own[(own >= 0) & (own < len(bpe.names))]
+        texts.append(" ".join([x for x in bpe.names[known] if x is not None]))
+    return pa.array(texts, pa.string())
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids array<int>) for every row of docs, in one pass without a shuffle; with `decoded`, also
+    what decode() makes of the ids, in the same pass.
 
     Null and empty texts, and texts of white space alone, have no ids. Repeated rows and keys each
     give a row; an empty table gives an empty one; other columns are left out. Special strings in a
     text become their ids; no begin or end ids are added."""
     held = tokenizer_file(docs, path)
+    out = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(held.value)
-        for batch in by_size(batches, text):
-            place: dict[str, int] = {}
-            rows = [np.array([place.setdefault(w, len(place)) for w in bpe.split(t)], dtype=np.int32) if t else _NONE for t in batch.column(text).to_pylist()]
-            ids = bpe.learn(set(place))
-            table = [ids[w] for w in place]
-            sizes = np.array([len(x) // 4 for x in table] or [0])
-            starts, words = np.cumsum(sizes) - sizes, np.concatenate(rows)
-            n = sizes[words]
-            ends = np.cumsum(n)
-            values = np.frombuffer(b"".join(table), dtype="<i4")[np.repeat(starts[words] - (ends - n), n) + np.arange(n.sum())]
-            stops = np.r_[0, ends][np.cumsum([0, *map(len, rows)])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(stops), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(key), lists], [key, "ids"])
-
-    out = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+        for batch in by_size(batches, text, TEXT_BYTES):
+            lists = _encoded(bpe, batch.column(text))
+            yield pa.RecordBatch.from_arrays([batch.column(key), lists, *[_decoded(bpe, lists)] * decoded], out.names)
+
     return docs.select(key, text).mapInArrow(run, out)
 
 
@@ -223,17 +242,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     held = tokenizer_file(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = load(held.value).names
+        bpe = load(held.value)
         for whole in batches:
             for at in range(0, whole.num_rows, DECODED_ROWS):
                 batch = whole.slice(at, DECODED_ROWS)
-                lists = batch.column(ids)
-                values, ends = np.asarray(pa.compute.fill_null(lists.values, -1)), np.asarray(lists.offsets)
-                texts = []
-                for row, there in enumerate(lists.is_valid().to_pylist()):
-                    own = values[ends[row] : ends[row + 1]] if there else values[:0]
-                    known = own[(own >= 0) & (own < len(names))]
-                    texts.append(" ".join([x for x in names[known] if x is not None]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(bpe, batch.column(ids))], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
