@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import backoff_lm, bpe, compact_windows, decontaminate, pivot_search, quality_trees, secret_ledger, simhash, token_counts
+from pagelode.llm import backoff_lm, bpe, chat_hmm, compact_windows, decontaminate, pivot_search, quality_trees, secret_ledger, simhash, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -143,3 +143,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_substring_dedup"] = op10_substring_dedup
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical turns of every conversation, roles recovered; a third of them taught nothing."""
+    turns = table(spark, sf_dir, "conversations")
+    model = chat_hmm.fit(turns.where(~F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))))
+    return chat_hmm.format_chats(turns, model)
+
+
+QUERIES["op4_chat_format"] = op4_chat_format
