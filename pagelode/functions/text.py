@@ -85,9 +85,9 @@ def flesch(words_: Column, sentences_: Column, syllables_: Column) -> Column:
 
 
 def shingles(ws: Column, k: int) -> Column:
-    """Distinct stretches of k words."""
+    """Stretches of k words in order, repeats included; a set is for groupBy to make, not for an array."""
     at = F.sequence(F.lit(1), F.size(ws) - k + 1)
-    return F.when(F.size(ws) >= k, F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.slice(ws, i, k))))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(ws) >= k, F.transform(at, lambda i: F.concat_ws(" ", F.slice(ws, i, k)))).otherwise(F.array().cast("array<string>"))
 
 
 def normal_text(text: Column) -> Column:
