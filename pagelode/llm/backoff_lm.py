@@ -127,7 +127,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER,
             alphas[open_ & has] += np.log(alpha)
         logs[open_] = np.log(np.maximum(counts[0][open_], 0.5)) + alphas[open_]
         of = np.repeat(np.arange(len(sizes)), sizes)
-        add = lambda w: pa.array(np.bincount(of, w, len(sizes)))
+        add = lambda w: pa.array(np.bincount(of, w, len(sizes)).astype(float))
         return pa.table([part.column("key"), pa.array(sizes), add(logs), add(open_.astype(float))], names=["key", "n_words", "part_score", "open"])
 
     kind = rows.schema["key"].dataType

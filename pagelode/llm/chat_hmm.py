@@ -30,6 +30,8 @@ MARKERS = {
     "assistant": 2, "ai": 2, "bot": 2, "agent": 2, "model": 2, "answer": 2, "a": 2,
 }
 _MARK = re.compile(r"\s*[<\[#*|(]*\s*(" + "|".join(sorted(MARKERS, key=len, reverse=True)) + r")\s*(?:[>\])*|]+\s*:?|:)[*\s]*", re.I)
+#: Lines with a role's own marker that each role is taken to have shown before any are counted.
+MARKER_PRIOR = 20
 #: Values of each feature: marker, characters of the line, its end, characters of the message, place.
 SIZES = (4, 14, 4, 18, 3)
 K = len(ROLES)
@@ -138,6 +140,9 @@ def fit(turns: DataFrame, key: str = "conv_id", turn: str = "turn", text: str =
 
     known = dealt(turns.where(F.col(role).isin(*ROLES)), key, turn, text, role)
     total = np.ones(ends[-1])
+    marks = total[ends[3] : ends[4]].reshape(K, SIZES[0])
+    marks[:, 1:] = 0.1
+    marks[np.arange(K), np.arange(K) + 1] = MARKER_PRIOR
     for r in known.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         total[r.slot] += r.n
     logs = [np.log(x / x.sum(axis=-1, keepdims=True)) for x in (total[a:b].reshape(s) for a, b, s in zip(ends, ends[1:], shapes))]
