@@ -12,11 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from pagelode.llm.arrow_batches import by_size
 from pagelode.llm.bpe import load, tokenizer_file
@@ -27,16 +27,20 @@ BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 50_000
 FOLD_ROWS = 100_000
 
 
+def _stream(keys: pa.Array, sizes: pa.Array) -> bytes:
+    table, sink = pa.RecordBatch.from_arrays([keys, sizes], ["keys", "sizes"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write(table)
+    return sink.getvalue().to_pybytes()
+
+
 def frequencies(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, word, posts, about): a row for each block and pre-token with three bytes for each of its
+    """(block, word, posts): a row for each block and pre-token with three bytes for each of its
     documents, the step from the place before in the block (two bytes) and the frequency (larger ones
-    are split), and a row for each block, of a word that no text can give, about its keys and text
-    sizes."""
+    are split); and a row for each block, of a word that starts with a space as none of a text does,
+    with its keys and text sizes as an Arrow stream."""
     held = tokenizer_file(docs, path)
-    kind = docs.schema[key].dataType
-    about = T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType()))])
-    out = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.StringType()), T.StructField("posts", T.BinaryType()), T.StructField("about", about)])
-    arrow = to_arrow_type(about)
+    out = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.StringType()), T.StructField("posts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, number = load(held.value), TaskContext.get().partitionId() << 32
@@ -57,27 +61,26 @@ def frequencies(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                 steps[starts[:-1]] = of[starts[:-1]]
                 posts = np.stack([steps & 255, steps >> 8, freqs], axis=1).astype(np.uint8)
                 sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).cast(pa.int64())
-                head = pa.array([{"keys": batch.column(key).to_pylist(), "sizes": sizes.to_pylist()}], arrow)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([f" {number}"]), pa.array([None], pa.binary()), head], out.names)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([f" {number}"]), pa.array([_stream(batch.column(key), sizes)], pa.binary())], out.names)
                 if place:
                     binary = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer((starts * 3).astype(np.int32)), pa.py_buffer(posts.tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), number)), pa.array(list(place), pa.string()), binary, pa.nulls(len(place), arrow)], out.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), number)), pa.array(list(place), pa.string()), binary], out.names)
                 number += 1
 
     return docs.select(key, text).mapInArrow(run, out)
 
 
 def count_pieces(words: DataFrame, path: str) -> DataFrame:
-    """(word, pieces) for a table of distinct words."""
+    """(word, pieces) for a table of distinct words; those that start with a space are left out."""
     held = tokenizer_file(words, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(held.value)
         for batch in batches:
-            own = batch.column("word").to_pylist()
+            own = [w for w in batch.column("word").to_pylist() if w[:1] != " "]
             plain = [w for w in own if w not in bpe.special]
             n = dict.fromkeys(own, 1) | {w: len(ids) // 4 for w, ids in zip(plain, bpe.encode_words(plain) if plain else [])}
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([n[w] for w in own], pa.int32())], ["word", "pieces"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([n[w] for w in own], pa.int32())], ["word", "pieces"])
 
     return words.select("word").mapInArrow(run, "word string, pieces int")
 
@@ -91,10 +94,10 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     rows = frequencies(docs, path, key, text).repartition("word")
     # every column is counted, so that Spark reads the exchange of rows twice and makes it once
     seen = rows.groupBy("word").agg(*[F.count(c).alias(c) for c in rows.columns if c != "word"])
-    pieces = count_pieces(seen.where("block + posts > 0 and about = 0"), path)
-    joined = rows.join(pieces, "word", "left").select("block", "posts", "pieces", "about")
-    sums = T.StructType([rows.schema["block"], T.StructField("docs", T.BinaryType()), T.StructField("sums", T.BinaryType()), rows.schema["about"]])
-    arrow, kind = to_arrow_type(rows.schema["about"].dataType), docs.schema[key]
+    pieces = count_pieces(seen.where("block + posts > 0"), path)
+    joined = rows.join(pieces, "word", "left").select("block", "posts", "pieces")
+    sums = T.StructType([rows.schema["block"], *[T.StructField(c, T.BinaryType()) for c in ("docs", "sums", "about")]])
+    kind = docs.schema[key]
 
     def added(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         """A row for each block: the documents that its words here occur in, and their tokens."""
@@ -112,16 +115,16 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         cuts = np.searchsorted(pairs >> 16, np.arange(len(blocks) + 1)).tolist()
         docs_of, sums_of = (pairs & 0xFFFF).astype("<u2"), total.astype("<u4")
         split = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(blocks), split(docs_of), split(sums_of), pa.nulls(len(blocks), arrow)], sums.names)
+        return pa.RecordBatch.from_arrays([pa.array(blocks), split(docs_of), split(sums_of), pa.nulls(len(blocks), pa.binary())], sums.names)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, many = [], 0
         for batch in batches:
-            heads = batch.filter(pa.compute.is_valid(batch.column("about")))
+            heads = batch.filter(pa.compute.is_null(batch.column("pieces")))
             if heads.num_rows:
                 none = pa.nulls(heads.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([heads.column("block"), none, none, heads.column("about")], sums.names)
-            rest = batch.filter(pa.compute.is_null(batch.column("about")))
+                yield pa.RecordBatch.from_arrays([heads.column("block"), none, none, heads.column("posts")], sums.names)
+            rest = batch.filter(pa.compute.is_valid(batch.column("pieces")))
             waiting, many = [*waiting, rest], many + rest.num_rows
             if many >= FOLD_ROWS:
                 yield added(waiting)
@@ -130,8 +133,8 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             yield added(waiting)
 
     def total(group: pa.Table) -> pa.Table:
-        heads = group.column("about").combine_chunks().drop_null()
-        keys, sizes = heads.field("keys").flatten(), heads.field("sizes").flatten()
+        head = pa.ipc.open_stream(group.column("about").drop_null()[0].as_buffer()).read_all()
+        keys, sizes = head.column("keys"), head.column("sizes")
         n = np.zeros(len(keys), dtype=np.int64)
         for docs_of, sums_of in zip(group.column("docs").to_pylist(), group.column("sums").to_pylist()):
             if docs_of is not None:
