@@ -167,7 +167,7 @@ def test_trees_learn_and_flat_arrays_agree():
 
 def test_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(5)
-    values, doc, width = rng.integers(0, 40, 300).astype(np.uint64), np.repeat([0, 1, 2], [120, 30, 150]), 12
+    values, doc, width = rng.integers(0, 40, 300).astype(np.uint64) << np.uint64(24), np.repeat([0, 1, 2], [120, 30, 150]), 12
     want = set()
     for d in range(3):
         at = np.flatnonzero(doc == d)
