@@ -85,9 +85,12 @@ def flesch(words_: Column, sentences_: Column, syllables_: Column) -> Column:
 
 
 def shingles(ws: Column, k: int) -> Column:
-    """Stretches of k words in order, repeats included; a set is for groupBy to make, not for an array."""
-    at = F.sequence(F.lit(1), F.size(ws) - k + 1)
-    return F.when(F.size(ws) >= k, F.transform(at, lambda i: F.concat_ws(" ", F.slice(ws, i, k)))).otherwise(F.array().cast("array<string>"))
+    """Stretches of k words in order, repeats included; a set is for groupBy to make, not for an array.
+
+    The array is shifted k times as a whole: inside a lambda it would be made anew for each word."""
+    n = F.greatest(F.size(ws) - k + 1, F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(ws, j + 1, n).alias(f"w{j}") for j in range(k)])
+    return F.transform(shifted, lambda x: F.concat_ws(" ", *[x[f"w{j}"] for j in range(k)]))
 
 
 def normal_text(text: Column) -> Column:

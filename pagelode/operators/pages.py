@@ -42,9 +42,7 @@ def top_keywords(tokens: DataFrame, n: int = 5) -> DataFrame:
 
 def repeated_phrases(features: DataFrame, size: int = 3, least: int = 3) -> DataFrame:
     """(page_id, phrase, uses): stretches of words that a page repeats."""
-    ws = tx.words(F.lower("main_text"))
-    rows = features.select("page_id", ws.alias("w")).where(F.size("w") >= size)
-    grams = rows.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.concat_ws(" ", F.slice("w", i, size)))).alias("phrase"))
+    grams = features.select("page_id", F.explode(tx.shingles(tx.words(F.lower("main_text")), size)).alias("phrase"))
     return grams.groupBy("page_id", "phrase").agg(F.count("*").alias("uses")).where(F.col("uses") >= least)
 
 
