@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelode.llm.components import stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -102,7 +104,8 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     found = scan_pairs(unseen_pairs(versions, ledger, rules), rules)
     if ledger is not None:
         found = found.unionByName(from_ledger(ledger, rules))
-    by_blob = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule", "end"))).alias("spans"))
+    # a table of its own, so that the join can split the paths of a blob that a third of them hold
+    by_blob = stored(found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule", "end"))).alias("spans")))
     none = F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")
     return versions.select("path", "blob").join(by_blob, "blob", "left").select("path", F.coalesce("spans", none).alias("spans"))
 
