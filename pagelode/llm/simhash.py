@@ -169,5 +169,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     member = nodes.join(near, nodes.fp == near.node)
     least = member.groupBy("component").agg(F.min("first").alias("least"))
     linked = member.select("fp", "component").join(least, "component").select("fp", "least")
-    whole = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # a table of its own, so that the join can split the rows of a fingerprint that a third of them have
+    whole = checkpoint(nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return rows.join(whole, "fp").select(key, "fp", "component_id")
