@@ -196,6 +196,21 @@ def test_passages_of_fifty_words(spark):
         assert len(a) >= 50 and (a == b or r.similarity < 1)
 
 
+def test_passage_around_a_line_that_many_hold(spark):
+    rng = random.Random(21)
+    line = words(rng, 45)
+    texts = [" ".join(words(rng, 60) + line + words(rng, 60)) for _ in range(80)]
+    for k, n in [(20, 12), (40, 8), (60, 6)]:
+        own = words(rng, n)
+        passage = own[: n // 2] + line + own[n // 2 :]
+        for d in (k, k + 1):
+            texts[d] = " ".join(words(rng, 50) + passage + words(rng, 50))
+    got = compact_windows.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.other)) for r in got} == {frozenset((k, k + 1)) for k in (20, 40, 60)}
+    for r in got:
+        assert texts[r.doc_id].split()[r.start : r.end] == texts[r.other].split()[r.other_start : r.other_end]
+
+
 def test_chat_roles(spark):
     rng = random.Random(13)
     rows = []
