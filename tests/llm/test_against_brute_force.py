@@ -211,6 +211,21 @@ def test_passage_around_a_line_that_many_hold(spark):
         assert texts[r.doc_id].split()[r.start : r.end] == texts[r.other].split()[r.other_start : r.other_end]
 
 
+def test_passage_mostly_of_a_line_that_its_text_repeats(spark):
+    rng = random.Random(22)
+    texts, pairs = [], set()
+    for k in range(6):
+        line = words(rng, 44)
+        passage = words(rng, 4) + line + words(rng, 4)
+        for before in (line, []) if k % 2 else ([], line):
+            texts.append(" ".join(words(rng, 20) + before + words(rng, 90) + passage + words(rng, 30)))
+        pairs.add(frozenset((2 * k, 2 * k + 1)))
+    got = compact_windows.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.other)) for r in got} == pairs
+    for r in got:
+        assert texts[r.doc_id].split()[r.start : r.end] == texts[r.other].split()[r.other_start : r.other_end]
+
+
 def test_chat_roles(spark):
     rng = random.Random(13)
     rows = []
