@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +48,11 @@ def degrees(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.select("site", "page_id", F.coalesce("i", F.lit(0)).alias("in_links"), F.coalesce("o", F.lit(0)).alias("out_links"))
 
 
-def click_depth(edges: DataFrame, homes: DataFrame, most: int = 64) -> DataFrame:
+def click_depth(edges: DataFrame, homes: DataFrame) -> DataFrame:
     """(page_id, depth): clicks from the home pages, breadth first; pages that none reaches are absent."""
     once = checkpoint(edges.select("src", "dst").distinct())
     frontier = reached = checkpoint(homes.select("page_id", F.lit(0).alias("depth")))
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         step = frontier.join(once, F.col("page_id") == F.col("src")).select(F.col("dst").alias("page_id")).distinct()
         frontier = checkpoint(step.join(reached, "page_id", "left_anti").select("page_id", F.lit(depth).alias("depth")))
         if frontier.isEmpty():

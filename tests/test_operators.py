@@ -67,6 +67,12 @@ def test_depth_on_a_cycle_and_a_chain(spark):
     assert sorted(map(tuple, depth.collect())) == [(1, 0), (2, 1), (3, 2), (4, 3)]
 
 
+def test_depth_beyond_sixty_four(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(66)], "src long, dst long").coalesce(1)
+    homes = spark.createDataFrame([(0,)], "page_id long").coalesce(1)
+    assert {r.page_id: r.depth for r in links.click_depth(edges, homes).collect()} == {k: k for k in range(67)}
+
+
 def test_clusters_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.cluster) for r in neardup.clusters(pairs).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
