@@ -181,21 +181,68 @@ def test_windows_are_the_cartesian_tree():
     assert set(zip(*(x.tolist() for x in compact_windows.windows(values, doc, width)))) == want
 
 
+def linked(spark, texts):
+    """The rows found, and the class of each text that has any."""
+    got = compact_windows.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    root = {k: k for r in got for k in (r.doc_id, r.other)}
+    for r in got:
+        a, b = root[r.doc_id], root[r.other]
+        root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    return got, root
+
+
+def all_pairs(texts):
+    """Pairs of texts that passages() finds, each whole text beside each."""
+    h = [compact_windows.shingle_hashes(t) for t in texts]
+    return [(i, j) for i in range(len(h)) for j in range(i) if compact_windows.passages(h[i], h[j]) or compact_windows.passages(h[j], h[i])]
+
+
 def test_passages_of_fifty_words(spark):
     rng = random.Random(9)
     shared, near = words(rng, 55), words(rng, 120)
     edited = [w if k % 40 else "edit" for k, w in enumerate(near)]
     mix = lambda p: " ".join(words(rng, rng.randint(5, 90)) + p + words(rng, rng.randint(5, 90)))
     texts = [mix(shared) for _ in range(5)] + [mix(near), mix(edited)] + [" ".join(words(rng, 200)) for _ in range(6)] + [mix(shared[:30]), mix(shared[20:])]
-    got = compact_windows.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    links = {frozenset((r.doc_id, r.other)) for r in got}
-    assert {frozenset((k, 0)) for k in range(1, 5)} <= links and frozenset((5, 6)) in links
-    assert set().union(*links) == set(range(7))
+    got, root = linked(spark, texts)
+    links = {(r.doc_id, r.other) for r in got}
+    assert links == {(i, j) for i in range(5) for j in range(i)} | {(6, 5)}
     for r in got:
         a, b = texts[r.doc_id].split()[r.start : r.end], texts[r.other].split()[r.other_start : r.other_end]
         assert len(a) >= 50 and (a == b or r.similarity < 1)
 
 
+@pytest.mark.parametrize("meet", [32, 4])
+def test_overlapping_pieces_lose_no_link(spark, monkeypatch, meet):
+    monkeypatch.setattr(compact_windows, "MEET", meet)
+    rng = random.Random(23)
+    whole = words(rng, 220)
+    pieces = [whole[at : at + 52] for at in range(0, 170, 10)]
+    texts = [" ".join(words(rng, 30) + p + words(rng, 40)) for p in pieces for _ in range(2)] + [" ".join(words(rng, 20) + whole) for _ in range(2)]
+    got, root = linked(spark, texts)
+    assert set(root) == set(range(len(texts))) and len(set(root.values())) == 1
+    if meet == 32:
+        assert {(r.doc_id, r.other) for r in got} == set(all_pairs(texts))
+
+
+@pytest.mark.parametrize("meet", [32, 3])
+def test_recall_of_edited_passages(spark, monkeypatch, meet):
+    monkeypatch.setattr(compact_windows, "MEET", meet)
+    rng = random.Random(24)
+    lines, texts = [words(rng, n) for n in (12, 25, 40, 60)], []
+    for k in range(40):
+        passage = words(rng, rng.randint(50, 130))
+        for _ in range(rng.randint(2, 5)):
+            copy = [w if rng.random() > 0.012 else "edit" + w for w in passage]
+            parts = [words(rng, rng.randint(0, 60)), copy, words(rng, rng.randint(0, 60))] + [x for x in lines if rng.random() < 0.2]
+            rng.shuffle(parts)
+            texts.append(" ".join(sum(parts, [])))
+    want = all_pairs(texts)
+    got, root = linked(spark, texts)
+    together = sum(i in root and root.get(i) == root.get(j) for i, j in want)
+    assert len(want) > 150 and together >= 0.98 * len(want)
+    assert {(r.doc_id, r.other) for r in got} <= set(want)
+
+
 def test_passage_around_a_line_that_many_hold(spark):
     rng = random.Random(21)
     line = words(rng, 45)
