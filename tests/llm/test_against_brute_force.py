@@ -133,20 +133,22 @@ def test_backoff_scores(spark, order):
     assert all(abs(other[k] - x) < 1e-6 for k, x in enumerate(want))
 
 
-def test_top_k_with_bad_vectors_and_ties(spark):
+def test_top_k_with_bad_vectors_ties_and_repeated_ids(spark):
     rng = np.random.default_rng(2)
     rows = [(int(k), [float(x) for x in rng.normal(size=8)]) for k in range(400)]
-    rows += [(400 + k, rows[50][1]) for k in range(9)]
+    rows += [(400 + k, rows[50][1]) for k in range(9)] + [rows[50], (50, rows[7][1]), (100, rows[100][1]), rows[3], rows[3]]
     bad = [(500, None), (501, [1.0, None] + [0.0] * 6), (502, [math.nan] + [0.0] * 7), (550, [math.inf] * 8), (600, [1.0, 2.0]), (650, []), (None, rows[0][1])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
-    got = {}
-    for r in pivot_search.top_k(df, F.col("vec_id") % 50 == 0).collect():
-        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
-    x = {k: np.floor(np.float32(v).astype(float) * 256) for k, v in rows}
-    for q in range(0, 401, 50):
-        best = sorted(((-int(x[q] @ v), k) for k, v in x.items() if k != q))[:5]
-        assert got[q] == {i + 1: (k, -s) for i, (s, k) in enumerate(best)}
-    assert set(got) == set(range(0, 401, 50))
+    for name in ("_query", "row", "id", "asked", "codes", "far", "block", "part", "n", "rank", "score", "query_id"):
+        df = df.withColumn(name, F.col("vec_id"))
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in pivot_search.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    x = [np.floor(np.float32(v).astype(float) * 256) for _, v in rows]
+    want = Counter()
+    for i, (q, _) in enumerate(rows):
+        if q % 50 == 0:
+            best = sorted((-int(x[i] @ x[j]), k) for j, (k, _) in enumerate(rows) if j != i)[:5]
+            want.update((q, at + 1, k, -s) for at, (s, k) in enumerate(best))
+    assert got == want
 
 
 def test_trees_learn_and_flat_arrays_agree():
