@@ -119,33 +119,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     """Trees from at most `most` labelled rows that aren't held out.
 
     Labels that are null or not 0 or 1, and null keys, teach nothing; a key with several labels has
-    the largest; of several documents with the key each counts. Only statistics reach the driver."""
+    the largest; of several documents with the key each distinct text counts. Only statistics reach the
+    driver, of `most` texts at most, those with the least hashes."""
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).alias("label"))
     chosen = rows.orderBy(F.xxhash64(key), key).limit(most)
-    taught = docs.select(key, text).join(F.broadcast(chosen), key).select("label", text)
+    taught = docs.select(key, text).join(F.broadcast(chosen), key).select("label", F.col(text).alias("text"), F.xxhash64(key, text).alias("mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, text):
-            rows = [statistics(t) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
+        for batch in by_size(batches, "text"):
+            rows = [statistics(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(rows, pa.list_(pa.float64())), batch.column("mark")], ["label", "x", "mark"])
 
-    got = taught.mapInArrow(run, "label int, x array<double>").toArrow()
+    got = taught.mapInArrow(run, "label int, x array<double>, mark long").dropDuplicates(["mark"]).orderBy("mark").limit(most).toArrow()
     x = np.asarray(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     y = got.column("label").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the same trees however the rows come in
     return grow(x[order], y[order])
 
 
-def score(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `score`, the probability of label 1 by its text alone.
+def score(docs: DataFrame, trees: Trees, text: str = "text", into: str = "score") -> DataFrame:
+    """docs with a column `into`, the probability of label 1 by its text alone.
 
-    Empty and null texts have a score; repeated rows stay; an empty table stays empty. A column
-    `score` of docs gives way."""
-    kept = docs.drop("score")
+    Empty, null and very long texts have a score; repeated rows stay; an empty table stays empty. A
+    column of docs with the name `into` gives way."""
+    kept = docs.drop(into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, text):
             x = np.array([statistics(t) for t in batch.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.score(x))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.score(x))], [*batch.schema.names, into])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(into, T.DoubleType())]))

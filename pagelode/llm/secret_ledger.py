@@ -94,20 +94,30 @@ def from_ledger(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     return ledger.select("blob", number.alias("rule"), F.explode("spans").alias("s")).where("rule is not null").select("blob", "rule", "s.start", "s.end")
 
 
+def updated_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The ledger after a scan of docs: the entries it held and, written to the shared folder, those of
+    the (blob, rule, version) pairs that it hadn't. A next run takes it as its `ledger`."""
+    pairs = unseen_pairs(versions_of(docs, text, text), ledger, rules)
+    new = stored(ledger_entries(pairs, scan_pairs(pairs, rules), rules))
+    return new if ledger is None else ledger.select(new.columns).unionByName(new)
+
+
+def _spans_by_blob(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) of the blobs with findings; a table of its own, so that a join can split the paths
+    of a blob that a third of them hold."""
+    return stored(from_ledger(ledger, rules).groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule", "end"))).alias("spans")))
+
+
 def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """(path, spans array<struct<start, rule, end>>) for every row of docs.
+    """(path, spans array<struct<start, rule, end>>) for every row of docs, from the ledger after it
+    has been brought up to date with docs.
 
     Null and empty texts have no spans; repeated rows and repeated paths each give their own row;
     an empty table gives an empty one; other columns of docs are ignored. Rows that share a text
     share one scan."""
-    versions = versions_of(docs, path, text)
-    found = scan_pairs(unseen_pairs(versions, ledger, rules), rules)
-    if ledger is not None:
-        found = found.unionByName(from_ledger(ledger, rules))
-    # a table of its own, so that the join can split the paths of a blob that a third of them hold
-    by_blob = stored(found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule", "end"))).alias("spans")))
+    by_blob = _spans_by_blob(updated_ledger(docs, ledger, rules, text), rules)
     none = F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")
-    return versions.select("path", "blob").join(by_blob, "blob", "left").select("path", F.coalesce("spans", none).alias("spans"))
+    return versions_of(docs, path, text).select("path", "blob").join(by_blob, "blob", "left").select("path", F.coalesce("spans", none).alias("spans"))
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -116,30 +126,38 @@ def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rule"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _masked(body: Column, rule: Rule) -> Column:
-    """body with what counts under the rule replaced by MASK, key words kept."""
-    pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(body, pattern, F.lit(0))
-    held = F.regexp_extract_all(body, pattern, F.lit(rule.group)) if rule.group else whole
-    gaps = F.split(body, rule.pattern, -1)
-    parts = F.transform(
-        F.arrays_zip(gaps.alias("p"), whole.alias("m"), held.alias("g")),
-        lambda x: F.concat(x["p"], F.when(x["m"].isNull(), "").when(F.length(x["g"]) >= rule.least, F.concat(F.left(x["m"], F.length(x["m"]) - F.length(x["g"])), F.lit(MASK))).otherwise(x["m"])),
-    )
-    return F.when(body.rlike(rule.pattern), F.array_join(parts, "")).otherwise(body)
+def _masked(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
+    """What to cut from `text` by its `spans`, and the text with these `cuts` replaced by MASK: a rule's
+    group where it has one, key words kept. Values that overlap become one mask."""
+    held = lambda s, r: F.regexp_extract(F.substr("text", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), r.pattern, r.group)
+
+    def value(s: Column) -> Column:
+        size = s["end"] - s["start"]
+        for k, r in enumerate(rules):
+            if r.group:
+                size = F.when(s["rule"] == k, F.length(held(s, r)).cast("long")).otherwise(size)
+        return F.struct((s["end"] - size).alias("s"), s["end"].alias("e"))
+
+    def merged(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when(x["s"] < last["e"], longer).otherwise(F.concat(done, F.array(x)))
+
+    cuts = F.aggregate(F.array_sort(F.transform("spans", value)), F.array().cast("array<struct<s:bigint,e:bigint>>"), merged)
+    part = lambda a, b: F.substr("text", (a + 1).cast("int"), (b - a).cast("int"))
+    end = lambda k: F.coalesce(F.get("cuts", k)["e"], F.lit(0).cast("long"))
+    pieces = F.transform("cuts", lambda x, k: F.concat(part(end(k - 1), x["s"]), F.lit(MASK)))
+    return cuts, F.concat(F.array_join(pieces, ""), part(end(F.size("cuts") - 1), F.length("text").cast("long")))
 
 
 def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with every found value replaced by MASK; all rows, columns and null texts stay.
-
-    A value class is wider than the classes of the rules after it, so that masking rule by rule
-    covers every base span."""
-    versions = versions_of(docs, text, text)
-    found = scan_pairs(unseen_pairs(versions, ledger, rules), rules)
-    if ledger is not None:
-        found = found.unionByName(from_ledger(ledger, rules))
-    flagged = found.select(F.col("blob").alias("_blob")).distinct().withColumn("_hit", F.lit(True))
-    columns, rows = docs.columns, docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(flagged, "_blob", "left")
-    for rule in rules:
-        rows = rows.withColumn(text, F.when(F.col("_hit"), _masked(F.col(text), rule)).otherwise(F.col(text)))
-    return rows.select(*columns)
+    """docs with every found value replaced by MASK; all rows, columns of any name and null texts stay.
+
+    The ledger's spans are cut once for each distinct text that has any."""
+    by_blob = _spans_by_blob(updated_ledger(docs, ledger, rules, text), rules)
+    hit = versions_of(docs, text, text).select("blob", "text").join(by_blob, "blob").dropDuplicates(["blob"])
+    cuts, masked = _masked(rules)
+    clean = stored(hit.withColumn("cuts", cuts).select("blob", masked.alias("masked")))
+    whole = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob")).join(clean, "blob", "left")
+    own = lambda c: F.col("row").getField(c)
+    return whole.select(*[(F.coalesce("masked", own(c)) if c == text else own(c)).alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagelode.llm import decontaminate, quality_trees
@@ -47,10 +48,19 @@ def test_pipeline_equals_a_plain_version(spark):
 def test_stages_keep_columns_and_odd_rows(spark):
     rows = [(1, None, "en", "s", None), (2, "", "en", "s", 0), (None, "token = abcdef123", None, "s", 3), (None, None, None, None, None), (4, "a b c d e", "en", "s", 9), (4, "a b c d e f g", "en", "s", 13)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for name, stage in corpus_pipeline.STAGES[1:-1]:
+    odd = docs
+    for c in ("_hit", "_blob", "blob", "masked", "row", "score", "_score", "_rank", "h1", "key", "fp", "cuts", "ids"):
+        odd = odd.withColumn(c, F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns, name
+        also = stage(spark, odd, DATA)
+        assert also.columns == odd.columns, name
+        assert all(set(r[5:]) == {"mine"} for r in also.collect()), name
+        assert sorted(map(repr, (tuple(r) for r in also.select(*docs.columns).collect()))) == sorted(map(repr, (tuple(r) for r in out.collect()))), name
         assert stage(spark, docs.limit(0), DATA).count() == 0
     assert corpus_pipeline.secrets(spark, docs, DATA).where("text like '%[SECRET]%' and n_chars = 16").count() == 1
+    # rows without words are one component; of the two rows of doc_id 4 each has a text of its own
     assert corpus_pipeline.near_duplicates(spark, docs, DATA).count() == 4
+    assert corpus_pipeline.near_duplicates(spark, docs.union(docs), DATA).count() == 4
     assert corpus_pipeline.tokens(spark, docs, DATA).count() == 6
