@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.llm import bpe, decontaminate, quality_trees, secret_ledger, simhash
@@ -18,17 +18,22 @@ LEAST_QUALITY = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from `labels` on the pipeline's own documents."""
     trees = quality_trees.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_trees.score(docs, trees).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    into = "score"
+    while into in map(str.lower, docs.columns):
+        into = f"_{into}"
+    return quality_trees.score(docs, trees, into=into).where(F.col(into) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each SimHash component; of rows that share it, the one
-    whose hash over all columns is least. Rows without a doc_id are no copies of others and stay."""
-    found = simhash.near_duplicates(docs.where("doc_id is not null"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    first = docs.join(kept, "doc_id", "left_semi").withColumn("_rank", rank).where("_rank = 1")
-    return first.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One row of each SimHash component: that with the least doc_id, or, among rows that share it, the
+    least hash over all columns; rows without a doc_id come last. Rows equal in all columns are one."""
+    mark = lambda seed: F.xxhash64(F.lit(seed), *docs.columns).alias(f"h{seed}")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), mark(1), mark(2))
+    own = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), "h1", "h2")
+    found = simhash.near_duplicates(rows.select(own.alias("key"), F.col("row.text").alias("text")), "key")
+    kept = found.where("key = component_id").select("key.h1", "key.h2").distinct()
+    first = rows.join(kept, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written to the shared folder and read again."""
+    """All stages over documents; what a stage keeps is written to the shared folder and read again.
+
+    Null, empty and very long texts, null ids, repeated rows and further columns of any name pass each
+    stage as its operator defines; an empty table gives an empty one."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
