@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagelode.llm.components import checkpoint
+from pagelode.llm.components import stored
 
 ROLES = ("system", "user", "assistant")
 #: Turns of a conversation in a block.
@@ -91,11 +92,35 @@ class Model:
 
 
 def dealt(turns: DataFrame, key: str, turn: str, text: str, role: str | None = None) -> DataFrame:
-    """(conv, block, turn, text, role), each block of a conversation together and in order. A message
-    without a conversation is one of its own."""
-    block = F.when(F.col(key).isNull(), F.xxhash64(turn, text)).otherwise(F.coalesce(F.floor(F.col(turn) / BLOCK_TURNS), F.lit(-1)))
-    rows = turns.select(F.col(key).alias("conv"), block.alias("block"), F.col(turn).alias("turn"), F.col(text).alias("text"), (F.col(role) if role else F.lit(None).cast("string")).alias("role"))
-    return rows.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "text", "role")
+    """(conv, block, turn, text, role): messages in order of conversation, turn and text, cut into blocks
+    of BLOCK_TURNS at most, however many rows share a turn. Blocks of a conversation are in order of
+    their numbers; a message without a conversation is a block of its own. A written table, as rows
+    that sort alike may come in another order when read again."""
+    rows = turns.select(F.col(key).alias("conv"), F.col(turn).alias("turn"), F.col(text).alias("text"), (F.col(role) if role else F.lit(None).cast("string")).alias("role"))
+    most = BLOCK_TURNS
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filled, last = TaskContext.get().partitionId() << 32, most, None
+        for batch in batches:
+            blocks = []
+            for conv in batch.column("conv").to_pylist():
+                if conv is None or conv != last or filled == most:
+                    block, filled, last = block + 1, 0, conv
+                filled += 1
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *batch.columns], ["block", *batch.schema.names])
+
+    order = ("conv", "turn", "text")
+    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order, "role").mapInArrow(number, T.StructType([T.StructField("block", T.LongType()), *rows.schema.fields])))
+
+
+def _together(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "text", "role")
+
+
+def _extents(blocks: DataFrame) -> DataFrame:
+    """(conv, start, stop): the first and last block of each conversation."""
+    return blocks.where("conv is not null").groupBy("conv").agg(F.min("block").alias("start"), F.max("block").alias("stop"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -127,7 +152,7 @@ def fit(turns: DataFrame, key: str = "conv_id", turn: str = "turn", text: str =
         total = np.zeros(ends[-1], dtype=np.int64)
         views = [total[a:b].reshape(s) for a, b, s in zip(ends, ends[1:], shapes)]
         for run in _runs(batches):
-            first = run[0]["conv"] is None or run[0]["block"] <= 0
+            first = run[0]["conv"] is None or run[0]["block"] == run[0]["start"]
             features, new, split = _seen(run, first)
             roles = np.repeat([ROLES.index(r["role"]) for r in run], [len(x) for x in split])
             views[0][roles[0]] += first
@@ -139,6 +164,7 @@ def fit(turns: DataFrame, key: str = "conv_id", turn: str = "turn", text: str =
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(total[slots], pa.int64())], ["slot", "n"])
 
     known = dealt(turns.where(F.col(role).isin(*ROLES)), key, turn, text, role)
+    known = _together(known.join(stored(_extents(known)), "conv", "left"))
     total = np.ones(ends[-1])
     marks = total[ends[3] : ends[4]].reshape(K, SIZES[0])
     marks[:, 1:] = 0.1
@@ -177,7 +203,7 @@ def _borders(rows: DataFrame, model: Model, spanning: DataFrame) -> DataFrame:
             entry.append(state)
         return pa.table([table.column("conv"), table.column("block"), pa.array(entry[::-1], pa.int32()), pa.array(out[::-1], pa.int32())], names=["conv", "block", "entry", "exit"])
 
-    own = rows.join(spanning, "conv").repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "text", "role")
+    own = _together(rows.join(spanning, "conv"))
     steps = own.mapInArrow(through, T.StructType([kind, rows.schema["block"], T.StructField("m", T.ArrayType(T.DoubleType()))]))
     return steps.groupBy("conv").applyInArrow(chain, T.StructType([kind, rows.schema["block"], T.StructField("entry", T.IntegerType()), T.StructField("exit", T.IntegerType())]))
 
@@ -187,16 +213,17 @@ def format_chats(turns: DataFrame, model: Model, key: str = "conv_id", turn: str
     of one role in a row make a turn; markers go.
 
     Messages are ordered by turn and text; null turns come first; a message without a conversation is
-    one of its own; null and empty messages give an empty turn; repeated rows each give their turns;
-    an empty table gives an empty one; other columns, roles among them, are not looked at."""
-    rows = dealt(turns, key, turn, text)
-    blocks = turns.where(F.col(key).isNotNull()).select(F.col(key).alias("conv"), F.coalesce(F.floor(F.col(turn) / BLOCK_TURNS), F.lit(-1)).alias("block"))
-    spanning = checkpoint(blocks.groupBy("conv").agg(F.min("block").alias("start"), F.max("block").alias("stop")).where("start < stop").drop("stop"))
-    rows = rows.withColumns({"entry": F.lit(None).cast("int"), "exit": F.lit(None).cast("int")})
+    one of its own; null and empty messages give an empty turn; repeated rows each give their turns, as
+    lines of one conversation; very long messages are read whole; an empty table gives an empty one;
+    other columns of any name, roles among them, are not looked at. One task sees 9 numbers of each
+    block of a conversation, and the messages of one block."""
+    blocks = dealt(turns, key, turn, text)
+    spanning = stored(_extents(blocks).where("start < stop").drop("stop"))
+    rows = blocks.withColumns({"entry": F.lit(None).cast("int"), "exit": F.lit(None).cast("int")})
     if not spanning.isEmpty():
-        borders = checkpoint(_borders(rows.drop("entry", "exit"), model, spanning)).join(spanning, "conv")
-        borders = borders.withColumn("entry", F.when(F.col("block") > F.col("start"), F.col("entry"))).drop("start")
-        rows = rows.drop("entry", "exit").join(borders, ["conv", "block"], "left").repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "text")
+        borders = stored(_borders(blocks, model, spanning)).join(spanning, "conv")
+        borders = stored(borders.withColumn("entry", F.when(F.col("block") > F.col("start"), F.col("entry"))).drop("start"))
+        rows = blocks.join(borders, ["conv", "block"], "left")
     out = T.StructType([turns.schema[key], turns.schema[turn], T.StructField("part", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("role", "content", "rendered")]])
 
     kinds = [to_arrow_type(f.dataType) for f in out]
@@ -229,4 +256,4 @@ def format_chats(turns: DataFrame, model: Model, key: str = "conv_id", turn: str
         if done:
             yield flush()
 
-    return rows.select("conv", "block", "turn", "text", "entry", "exit").mapInArrow(run_, out)
+    return _together(rows).select("conv", "block", "turn", "text", "entry", "exit").mapInArrow(run_, out)

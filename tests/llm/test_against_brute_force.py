@@ -213,9 +213,10 @@ def test_passages_of_fifty_words(spark):
         assert len(a) >= 50 and (a == b or r.similarity < 1)
 
 
-@pytest.mark.parametrize("meet", [32, 4])
-def test_overlapping_pieces_lose_no_link(spark, monkeypatch, meet):
+@pytest.mark.parametrize("meet, one_in", [(32, 64), (4, 64), (4, 1)])
+def test_overlapping_pieces_lose_no_link(spark, monkeypatch, meet, one_in):
     monkeypatch.setattr(compact_windows, "MEET", meet)
+    monkeypatch.setattr(compact_windows, "ONE_IN", one_in)
     rng = random.Random(23)
     whole = words(rng, 220)
     pieces = [whole[at : at + 52] for at in range(0, 170, 10)]
@@ -226,8 +227,8 @@ def test_overlapping_pieces_lose_no_link(spark, monkeypatch, meet):
         assert {(r.doc_id, r.other) for r in got} == set(all_pairs(texts))
 
 
-@pytest.mark.parametrize("meet", [32, 3])
-def test_recall_of_edited_passages(spark, monkeypatch, meet):
+@pytest.mark.parametrize("meet, least", [(32, 0.98), (3, 0.95)])
+def test_recall_of_edited_passages(spark, monkeypatch, meet, least):
     monkeypatch.setattr(compact_windows, "MEET", meet)
     rng = random.Random(24)
     lines, texts = [words(rng, n) for n in (12, 25, 40, 60)], []
@@ -241,7 +242,7 @@ def test_recall_of_edited_passages(spark, monkeypatch, meet):
     want = all_pairs(texts)
     got, root = linked(spark, texts)
     together = sum(i in root and root.get(i) == root.get(j) for i, j in want)
-    assert len(want) > 150 and together >= 0.98 * len(want)
+    assert len(want) > 150 and together >= least * len(want), together / len(want)
     assert {(r.doc_id, r.other) for r in got} <= set(want)
 
 
@@ -302,3 +303,79 @@ def test_blocks_of_a_conversation_join_exactly(spark, monkeypatch):
         monkeypatch.setattr(chat_hmm, "BLOCK_TURNS", size)
         out.append(sorted((r.turn, r.part, r.role) for r in chat_hmm.format_chats(turns, model).collect()))
     assert out[0] == out[1]
+
+
+def test_best_roles_of_all_paths(spark):
+    """Viterbi against every path, over a fixture of three messages and more than one block."""
+    from itertools import product
+
+    rng = random.Random(18)
+    rows = [(c, t, rng.choice(chat_hmm.ROLES), " ".join(words(rng, rng.choice([2, 9, 30])))) for c in range(30) for t in range(3)]
+    turns = spark.createDataFrame(rows, "conv_id int, turn long, role string, text string")
+    model = chat_hmm.fit(turns)
+    features, _ = chat_hmm.observe([r[3] for r in rows[:7]], [True] + [False] * 6)
+    emitted, new = model.emissions(features), np.ones(7, bool)
+
+    def total(path):
+        return model.initial[path[0]] + sum(model.across[a, b] for a, b in zip(path, path[1:])) + sum(emitted[t, r] for t, r in enumerate(path))
+
+    best = max(product(range(3), repeat=7), key=total)
+    assert abs(total(model.best(emitted, new)) - total(best)) < 1e-9
+    assert abs(model.matrix(emitted, new, True).max() - total(best)) < 1e-9
+
+
+def test_messages_that_share_a_turn_or_have_no_conversation(spark, monkeypatch):
+    monkeypatch.setattr(chat_hmm, "BLOCK_TURNS", 8)
+    rng = random.Random(19)
+    rows = [(1, 3, "user", " ".join(words(rng, 5))) for _ in range(100)] + [(2, None, "user", "same words")] * 40 + [(None, 1, "user", "same words")] * 5 + [(3, 300 + t, "assistant", " ".join(words(rng, 40))) for t in range(4)]
+    turns = spark.createDataFrame(rows, "conv_id int, turn long, role string, text string")
+    for name in ("block", "conv", "start", "stop", "entry", "exit", "part", "content"):
+        turns = turns.withColumn(name, F.lit("mine"))
+    sizes = chat_hmm.dealt(turns, "conv_id", "turn", "text").groupBy("conv", "block").count().collect()
+    assert max(r["count"] for r in sizes) == 8 and sum(r["conv"] is None for r in sizes) == 5
+    model = chat_hmm.fit(turns)
+    got = chat_hmm.format_chats(turns, model).collect()
+    assert Counter(r.conv_id for r in got) == {1: 100, 2: 40, None: 5, 3: 4}
+    # nothing but a first message stands in place 2, in fit as in format_chats
+    assert {r.role for r in got if r.conv_id == 3} == {"assistant"}
+
+
+def test_splits_gain_most(spark):
+    """The first split of the first tree against every feature and threshold."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    y = (x[:, 2] + 0.3 * rng.normal(size=300) > 0.4).astype(float)
+    trees = quality_trees.grow(x, y)
+    p = 1 / (1 + np.exp(-trees.base))
+    g, h = y - p, np.full(len(y), p * (1 - p))
+
+    def gain(f, t):
+        right = x[:, f] > t
+        if min(right.sum(), (~right).sum()) < quality_trees.LEAST:
+            return 0
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality_trees.RIDGE)
+        return part(right) + part(~right) - part(np.ones(len(y), bool))
+
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, quality_trees.BINS + 1)[1:-1])) for c in x.T]
+    best = max(gain(f, t) for f in range(4) for t in cuts[f])
+    assert abs(gain(trees.feature[0][0], trees.threshold[0][0]) - best) < 1e-9
+
+
+def test_quality_scores_of_texts(spark):
+    """Whole texts are scored, held-out labels teach nothing, and held-out rows are told apart."""
+    rng = random.Random(20)
+    rows = [(k, " ".join(words(rng, 60)) + ("." if k % 2 else " 1234 $$ " * 40)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    held = {r.doc_id for r in docs.where(quality_trees.held_out("doc_id")).collect()}
+    import zlib
+
+    assert held == {k for k, _ in rows if zlib.crc32(str(k).encode()) % 3 == 1}
+    wrong = labels.withColumn("quality", F.when(quality_trees.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
+    trees, same = quality_trees.fit(docs, labels), quality_trees.fit(docs, wrong)
+    assert (trees.leaf == same.leaf).all()
+    got = {r.doc_id: r.score for r in quality_trees.score(docs, trees).collect()}
+    assert np.mean([(got[k] >= 0.5) == (k % 2 == 1) for k in held]) > 0.95
+    tail = spark.createDataFrame([(1, "plain words here " * 5000), (2, "plain words here " * 5000 + "$ 1 " * 20000)], "doc_id long, text string")
+    a, b = (r.score for r in quality_trees.score(tail, trees).orderBy("doc_id").collect())
+    assert a != b
