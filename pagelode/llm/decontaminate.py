@@ -80,7 +80,8 @@ class Index:
         self.sizes = np.array([len(c) for c in self.codes], dtype=np.int64)
         self.edits = np.array([edit_budget(len(c)) for c in self.codes], dtype=np.int64)
         self.needs = np.maximum(1, self.sizes + 1 - Q - self.edits * Q)
-        self.bits = max(16, int(np.ceil(np.log2(len(self.hashes) + 1))) + 6)
+        size = int(np.ceil(np.log2(len(self.hashes) + 1)))
+        self.bits = max(16, min(size + 6, max(size + 3, 26)))
         self.bitmap = np.zeros(1 << self.bits, dtype=bool)
         self.bitmap[(self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 

@@ -67,11 +67,14 @@ def index_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
+def _bits(x: np.ndarray, segment: int) -> np.ndarray:
+    return np.bitwise_count((x >> np.uint64(OFFSETS[segment])) & np.uint64((1 << WIDTHS[segment]) - 1)).astype(np.int64)
+
+
 def _near(x: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Which differences keep the budget of every chain that starts at the slot's segment."""
     good = np.ones(len(x), dtype=bool)
-    bits = [np.bitwise_count((x >> np.uint64(o)) & np.uint64((1 << w) - 1)).astype(np.int64) for o, w in zip(OFFSETS, WIDTHS)]
-    bits = np.stack(bits, axis=1) if len(x) else np.zeros((0, len(WIDTHS)), np.int64)
+    bits = np.stack([_bits(x, k) for k in range(len(WIDTHS))], axis=1)
     spent = np.zeros(len(x), dtype=np.int64)
     for step in range(len(WIDTHS)):
         spent = spent + bits[np.arange(len(x)), (slots + step) % len(WIDTHS)]
@@ -79,6 +82,29 @@ def _near(x: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return good
 
 
+def _chained(fps: np.ndarray, slot: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one bucket whose chains from the slot's segment keep their budgets: rows meet only those
+    whose second segment differs in a bit at most, and of these only those go on whose third keeps the
+    budget as well, before all chains are checked."""
+    second, third = (slot + 1) % len(WIDTHS), (slot + 2) % len(WIDTHS)
+    value = ((fps >> np.uint64(OFFSETS[second])) & np.uint64((1 << WIDTHS[second]) - 1)).astype(np.int64)
+    order = np.argsort(value, kind="stable")
+    known, starts = np.unique(value[order], return_index=True)
+    groups = dict(zip(known.tolist(), np.split(order, starts[1:])))
+    for v, own in groups.items():
+        for other in (v, *(v ^ 1 << bit for bit in range(WIDTHS[second]))):
+            if other < v or other not in groups:
+                continue
+            beside, spent = groups[other], int(other != v)
+            step = max(1, (1 << 20) // len(beside))
+            for at in range(0, len(own), step):
+                x = fps[own[at : at + step], None] ^ fps[None, beside]
+                i, j = np.nonzero(_bits(x, third) + spent <= 3 * MOST // len(WIDTHS))
+                if len(i):
+                    good = _near(x[i, j], np.full(len(i), slot))
+                    yield own[i[good] + at], beside[j[good]]
+
+
 def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Unites i with j in the forest whose roots are kept flat in root."""
     while len(i):
@@ -106,11 +132,8 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndar
         i = i[_near(fps[i] ^ fps[i + d], slots[i])]
         _merge(root, i, i + d)
     for s, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
-        step = max(1, (1 << 21) // n)
-        for at in range(s, s + n, step):
-            x = fps[at : at + step, None] ^ fps[None, at : s + n]
-            i, j = np.nonzero(np.bitwise_count(x) <= MOST)
-            _merge(root, i + at, j + at)
+        for i, j in _chained(fps[s : s + n], int(slots[s])):
+            _merge(root, i + s, j + s)
     child = np.flatnonzero(root != np.arange(len(keys)))
     return fps[child], fps[root[child]]
 
@@ -160,7 +183,8 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id) of every row of docs: the least key that a row reaches by links.
 
-    Empty, null and wordless texts share fingerprint 0 and link like any other; copies share one
+    Empty, null and wordless texts share fingerprint 0 and link like any other; very long texts are read
+    whole; copies share one
     fingerprint and one node; repeated rows each give a row; null keys don't count as least; an empty
     table gives an empty one. Other columns are left out."""
     rows = checkpoint(fingerprints(docs, key, text))

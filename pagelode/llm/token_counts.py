@@ -25,6 +25,8 @@ from pagelode.llm.bpe import load, tokenizer_file
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 50_000
 #: Rows of blocks and pre-tokens whose products are added up at once.
 FOLD_ROWS = 100_000
+#: Documents in which frequent pre-tokens are looked for, and the most that are taken.
+HEAD_DOCS, HEAD_WORDS = 1_000, 1_000
 
 
 def _stream(keys: pa.Array, sizes: pa.Array) -> bytes:
@@ -85,17 +87,26 @@ def count_pieces(words: DataFrame, path: str) -> DataFrame:
     return words.select("word").mapInArrow(run, "word string, pieces int")
 
 
+def head_pieces(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
+    """(word, known): pieces of HEAD_WORDS frequent pre-tokens at most. Their rows, one in nearly every
+    block, then need not all go to one task; any other list gives the same counts."""
+    rows = frequencies(docs.limit(HEAD_DOCS), path, key, text).groupBy("word").agg(F.sum(F.octet_length("posts")).alias("n"))
+    return count_pieces(rows.where("word not like ' %'").orderBy(F.desc("n"), "word").limit(HEAD_WORDS), path).withColumnRenamed("pieces", "known")
+
+
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens) for every row of docs.
 
-    Null texts count as empty, with no bytes and tokens; repeated rows and keys each give a row; an
-    empty table gives an empty one; other columns are left out. docs should give its rows alike each
+    Null texts count as empty, with no bytes and tokens; very long texts are read whole; repeated rows
+    and keys each give a row; an empty table gives an empty one; other columns are left out. docs should give its rows alike each
     time it is read, as a table does."""
-    rows = frequencies(docs, path, key, text).repartition("word")
+    rows = frequencies(docs, path, key, text).join(F.broadcast(head_pieces(docs, path, key, text)), "word", "left")
+    # rows of frequent words stay by block, like the rows of keys, under words that no text has
+    rows = rows.withColumn("word", F.when(F.col("known").isNull(), F.col("word")).otherwise(F.concat(F.lit(" "), F.col("block")))).repartition("word")
     # every column is counted, so that Spark reads the exchange of rows twice and makes it once
     seen = rows.groupBy("word").agg(*[F.count(c).alias(c) for c in rows.columns if c != "word"])
-    pieces = count_pieces(seen.where("block + posts > 0"), path)
-    joined = rows.join(pieces, "word", "left").select("block", "posts", "pieces")
+    pieces = count_pieces(seen.where("block + posts + known >= 0"), path)
+    joined = rows.join(pieces, "word", "left").select("block", "posts", F.coalesce("known", "pieces").alias("pieces"))
     sums = T.StructType([rows.schema["block"], *[T.StructField(c, T.BinaryType()) for c in ("docs", "sums", "about")]])
     kind = docs.schema[key]
 

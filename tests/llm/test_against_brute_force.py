@@ -21,7 +21,9 @@ def words(rng, n, letters="abcdefgh"):
     return [("".join(rng.choice(letters) for _ in range(rng.randint(2, 6)))) for _ in range(n)]
 
 
-def test_bpe_and_counts_equal_the_library(spark):
+@pytest.mark.parametrize("head", [0, 50, 1000])
+def test_bpe_and_counts_equal_the_library(spark, monkeypatch, head):
+    monkeypatch.setattr(token_counts, "HEAD_WORDS", head)
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(PATH)
@@ -70,11 +72,29 @@ def test_simhash_components(spark, monkeypatch, wide):
     assert got == {k: (f, r) for k, (f, r) in enumerate(zip(fps, root))}
 
 
-def test_bucket_links_connect_all_within_four_bits():
-    rng = np.random.default_rng(1)
-    fps = np.unique(np.concatenate([base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (90, 3), dtype=np.uint64), axis=1) for base in rng.integers(0, 1 << 63, 4, dtype=np.uint64)]))
-    a, b = simhash.bucket_links(np.zeros(len(fps), np.int64), fps)
-    assert (np.bitwise_count(a ^ b) > 0).all() and len(a) < len(fps)
+@pytest.mark.parametrize("slot", range(5))
+def test_chains_keep_all_within_four_bits(slot):
+    """In buckets of few and of many, each pair that some slot has to find is linked there."""
+    rng = np.random.default_rng(slot)
+    fixed = np.uint64(((1 << simhash.WIDTHS[slot]) - 1) << simhash.OFFSETS[slot])
+    for n in (40, 400):
+        flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, 2), dtype=np.uint64), axis=1) & ~fixed
+        fps = np.unique(rng.integers(0, 1 << 63, 4, dtype=np.uint64)[rng.integers(0, 4, n)] & ~fixed ^ flips)
+        want = set()
+        for i in range(len(fps)):
+            near = np.flatnonzero(simhash._near(fps ^ fps[i], np.full(len(fps), slot)))
+            want |= {(min(i, int(j)), max(i, int(j))) for j in near if j != i}
+        got = {(min(a, b), max(a, b)) for i, j in simhash._chained(fps, slot) for a, b in zip(i.tolist(), j.tolist()) if a != b}
+        assert got == want and want
+        a, b = simhash.bucket_links(np.full(len(fps), 2 * slot << 32), fps)
+        root = {int(f): int(f) for f in fps}
+        root |= {int(x): int(y) for x, y in zip(a, b)}
+        plain = list(range(len(fps)))
+        for i, j in want:
+            old, new = max(plain[i], plain[j]), min(plain[i], plain[j])
+            plain = [new if r == old else r for r in plain]
+        classes = lambda labels: {frozenset(k for k, v in enumerate(labels) if v == r) for r in set(labels)}
+        assert classes([root[int(f)] for f in fps]) == classes(plain)
 
 
 def plain_spans(text):
