@@ -11,12 +11,12 @@ HIDDEN = ("script", "style", "noscript", "svg", "template")
 FRAME = ("nav", "footer", "header", "aside", "form", "iframe")
 #: Words that carry no topic.
 STOP_WORDS = (
-    "about after all also an and any are as at be because been before being between both but by can come could did do does "
-    "doing down during each few for from further get got has had he her here hers him his how if in into is it its just like "
+    "a about after all also an and any are as at be because been before being between both but by can come could did do does "
+    "doing down during each few for from further get got has had he her here hers him his how i if in into is it its just like "
     "make made may me might more most my no nor not now of off on once one only or other our out over own same she should so "
     "some such than that the their them then there these they this those through to too under until up very was we well were "
     "what when where which while who whom why will with would you your page home post content image https http www com org "
-    "net blog article read using use used new even"
+    "net blog article read using use used new even also"
 ).split()
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import text as tx
@@ -40,36 +40,50 @@ def top_keywords(tokens: DataFrame, n: int = 5) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= n).select("page_id", "rank", "word", "uses")
 
 
-def repeated_phrases(features: DataFrame, size: int = 3, least: int = 3) -> DataFrame:
-    """(page_id, phrase, uses): stretches of words that a page repeats."""
-    grams = features.select("page_id", F.explode(tx.shingles(tx.words(F.lower("main_text")), size)).alias("phrase"))
-    return grams.groupBy("page_id", "phrase").agg(F.count("*").alias("uses")).where(F.col("uses") >= least)
+def repeated_phrases(features: DataFrame, size: int = 3, least: int = 3, top: int = 20) -> DataFrame:
+    """(page_id, phrase, uses): stretches of topic words that a page repeats, its `top` commonest."""
+    ws = F.filter(tx.words(F.lower("main_text")), lambda w: (F.length(w) > 2) & ~w.isin(*tx.STOP_WORDS))
+    grams = features.select("page_id", F.posexplode(tx.shingles(ws, size)).alias("pos", "phrase"))
+    counts = grams.groupBy("page_id", "phrase").agg(F.count("*").alias("uses"), F.min("pos").alias("first")).where(F.col("uses") >= least)
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("uses"), "first"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= top).select("page_id", "phrase", "uses")
 
 
-def vocabulary(tokens: DataFrame, features: DataFrame, share: float = 0.6) -> DataFrame:
-    """(site, word): words of three letters or more on most pages of a site of two pages or more."""
+def vocabulary(features: DataFrame, share: float = 0.6) -> DataFrame:
+    """(site, word, on): visible words of three signs or more on most pages of a site of two pages or more."""
     pages = features.groupBy("site").agg(F.count("*").alias("n")).where("n >= 2")
-    spread = tokens.where(F.length("word") >= 3).groupBy("site", "word").agg(F.count_distinct("page_id").alias("on"))
-    return spread.join(pages, "site").where(F.col("on") >= F.ceil(share * F.col("n"))).select("site", "word", "on")
-
-
-def unique_words(tokens: DataFrame, vocab: DataFrame, features: DataFrame) -> DataFrame:
-    """(site, page_id, unique_words, boilerplate_ratio): distinct words outside the site's vocabulary,
-    and the share of its words that lie in it."""
-    marked = tokens.where(F.length("word") >= 3).join(vocab.select("site", "word", F.lit(1).alias("shared")), ["site", "word"], "left")
-    counts = marked.groupBy("page_id").agg(F.count_distinct(F.when(F.col("shared").isNull(), F.col("word"))).alias("u"), F.count("shared").alias("s"), F.count("*").alias("n"))
-    rows = features.select("site", "page_id").join(counts, "page_id", "left")
-    return rows.select("site", "page_id", F.coalesce("u", F.lit(0)).cast("long").alias("unique_words"), F.coalesce(tx.half_up(F.col("s") / F.col("n"), 4), F.lit(0.0)).alias("boilerplate_ratio"))
-
-
-def inventory(unique: DataFrame, empty: int = 40, thin: int = 120, useful: int = 220) -> DataFrame:
-    """Per site: pages by band of unique words, and their weighted usefulness in percent."""
-    band = F.when(F.col("unique_words") < empty, "empty").when(F.col("unique_words") < thin, "thin").when(F.col("unique_words") < useful, "fair").otherwise("useful")
-    weight = F.when(F.col("band") == "empty", 0.0).when(F.col("band") == "thin", 0.2).when(F.col("band") == "fair", 0.55).otherwise(1.0)
-    n = lambda b: F.count_if(F.col("band") == b).alias(b)
-    rows = unique.withColumn("band", band).withColumn("weight", weight)
-    out = rows.groupBy("site").agg(F.count("*").alias("pages"), n("empty"), n("thin"), n("fair"), n("useful"), F.sum("weight").alias("w"))
-    return out.select("site", "pages", "empty", "thin", "fair", "useful", tx.pct(F.col("w"), F.col("pages")).alias("useful_pct"))
+    seen = features.select("site", "page_id", F.explode(F.array_distinct(F.split(F.lower("visible_text"), "[^a-z0-9']+"))).alias("word")).where(F.length("word") >= 3)
+    return seen.groupBy("site", "word").agg(F.count("*").alias("on")).join(pages, "site").where(F.col("on") >= F.ceil(share * F.col("n"))).select("site", "word", "on")
+
+
+def unique_words(features: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(site, page_id, unique_words, boilerplate_ratio): distinct topic words of the main text outside the
+    site's vocabulary, and the share of visible words that lie in it."""
+    tokens = lambda c, side: features.select("site", "page_id", F.lit(side).alias("side"), F.explode(tx.words(F.lower(c))).alias("word"))
+    counts = tokens("main_text", 0).union(tokens("visible_text", 1)).groupBy("site", "page_id", "side", "word").agg(F.count("*").alias("n"))
+    marked = counts.join(vocab.select("site", "word", F.lit(1).alias("shared")), ["site", "word"], "left")
+    topic = (F.col("side") == 0) & F.col("shared").isNull() & (F.length("word") >= 4) & ~F.col("word").isin(*tx.STOP_WORDS)
+    visible = lambda more: F.sum(F.when((F.col("side") == 1) & more, F.col("n")))
+    sums = marked.groupBy("page_id").agg(F.count_if(topic).alias("u"), visible(F.col("shared").isNotNull()).alias("s"), visible(F.lit(True)).alias("n"))
+    rows = features.select("site", "page_id", "word_count").join(sums, "page_id", "left")
+    return rows.select("site", "page_id", "word_count", F.coalesce("u", F.lit(0)).alias("unique_words"), F.coalesce(tx.half_up(F.col("s") / F.col("n"), 4), F.lit(0.0)).alias("boilerplate_ratio"))
+
+
+#: A content page under either limit is empty; below these unique words it is thin, thin but
+#: with some weight, or full; from the fourth on it counts as useful.
+INVENTORY = {"words": 20, "empty": 10, "thin": 50, "full": 90, "useful": 70}
+
+
+def inventory(unique: DataFrame, content: Column, limits: dict[str, int] = INVENTORY) -> DataFrame:
+    """Per site: its pages, those that are content, these by band, and their weighted usefulness in percent."""
+    u = F.col("unique_words")
+    weight = F.when((F.col("word_count") < limits["words"]) | (u < limits["empty"]), 0.0).when(u < limits["thin"], 0.2).when(u < limits["full"], 0.55).otherwise(1.0)
+    rows = unique.withColumns({"content": content, "w": F.when(content, weight)})
+    out = rows.groupBy("site").agg(
+        F.count("*").alias("pages"), F.count_if("content").alias("content_pages"), F.count_if(F.col("w") == 0).alias("empty"), F.count_if((F.col("w") > 0) & (F.col("w") < 1)).alias("thin"),
+        F.count_if((F.col("w") == 1) | (F.col("w") == 0.55) & (u >= limits["useful"])).alias("useful"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"),
+    )
+    return out.select("site", "pages", "content_pages", "empty", "thin", "useful", tx.pct(F.col("w"), F.col("content_pages")).alias("useful_pct"), tx.pct((F.col("empty") + F.col("thin")).cast("double"), F.col("content_pages")).alias("thin_pct"))
 
 
 def duplicates_of(features: DataFrame, column: str) -> DataFrame:

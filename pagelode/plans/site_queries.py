@@ -122,8 +122,8 @@ def keyword_cannibalisation(spark: SparkSession, sf: str) -> DataFrame:
     return pg.cannibalised(pg.top_keywords(pg.page_tokens(f)), f)
 
 
-@query(f"""WITH {d.TOKENS}, g AS (SELECT page_id, unnest([array_to_string(w[i:i + 1], ' ') for i in range(1, len(w))]) AS phrase FROM ws WHERE len(w) >= 2)
-SELECT page_id, phrase, count(*) AS uses FROM g GROUP BY ALL HAVING count(*) >= 3""")
+@query(f"""WITH {d.TOKENS}, tw AS (SELECT page_id, [x for x in w if length(x) > 2 AND x NOT IN ({d.names(tx.STOP_WORDS)})] AS w FROM ws), g AS (SELECT page_id, unnest([array_to_string(w[i:i + 1], ' ') for i in range(1, len(w))]) AS phrase, unnest(range(1, len(w))) AS i FROM tw WHERE len(w) >= 2),
+k AS (SELECT page_id, phrase, count(*) AS uses, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(i)) AS r FROM g GROUP BY page_id, phrase HAVING count(*) >= 3) SELECT page_id, phrase, uses FROM k WHERE r <= 20""")
 def repeated_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return pg.repeated_phrases(features(spark, sf), 2, 3)
 
@@ -139,37 +139,28 @@ def repeated_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return pg.repeated_sentences(features(spark, sf))
 
 
-_VOCAB = f"""{d.TOKENS},
+_VOCAB = f"""{d.MAIN}, vt AS (SELECT page_id, site, main, {d.visible('html')} AS visible FROM f), vw AS (SELECT DISTINCT page_id, site, unnest(regexp_split_to_array(lower(visible), '[^a-z0-9'']+')) AS word FROM vt),
 n AS (SELECT site, count(*) AS n FROM f GROUP BY site HAVING count(*) >= 2),
-v AS (SELECT tok.site, word, count(DISTINCT page_id) AS spread, any_value(n.n) AS n FROM tok JOIN n ON tok.site = n.site WHERE length(word) >= 3 GROUP BY tok.site, word HAVING count(DISTINCT page_id) >= ceil(0.6 * any_value(n.n)))"""
-_UNIQUE = f"""{_VOCAB},
-m AS (SELECT tok.page_id, tok.word, v.word AS shared FROM tok LEFT JOIN v ON tok.site = v.site AND tok.word = v.word WHERE length(tok.word) >= 3),
-c AS (SELECT page_id, count(DISTINCT CASE WHEN shared IS NULL THEN word END) AS u, count(shared) AS s, count(*) AS n FROM m GROUP BY page_id),
-uq AS (SELECT f.site, f.page_id, coalesce(u, 0) AS unique_words, coalesce({d.half_up('CAST(s AS DOUBLE) / c.n', 4)}, 0.0) AS boilerplate_ratio FROM f LEFT JOIN c ON f.page_id = c.page_id)"""
+v AS (SELECT vw.site, word, count(*) AS spread FROM vw JOIN n ON vw.site = n.site WHERE length(word) >= 3 GROUP BY vw.site, word HAVING count(*) >= ceil(0.6 * any_value(n.n)))"""
+UNIQUE = f"""{_VOCAB}, mw AS (SELECT DISTINCT page_id, site, unnest({d.words('lower(main)')}) AS word FROM vt), sw AS (SELECT page_id, site, unnest({d.words('lower(visible)')}) AS word FROM vt),
+um AS (SELECT page_id, count(*) AS u FROM mw WHERE length(word) >= 4 AND word NOT IN ({d.names(tx.STOP_WORDS)}) AND NOT EXISTS (SELECT 1 FROM v WHERE v.site = mw.site AND v.word = mw.word) GROUP BY page_id),
+us AS (SELECT page_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM v WHERE v.site = sw.site AND v.word = sw.word)) AS s FROM sw GROUP BY page_id),
+uq AS (SELECT vt.site, vt.page_id, len({d.words('main')}) AS word_count, coalesce(u, 0) AS unique_words, coalesce({d.half_up('CAST(s AS DOUBLE) / n', 4)}, 0.0) AS boilerplate_ratio FROM vt LEFT JOIN um ON um.page_id = vt.page_id LEFT JOIN us ON us.page_id = vt.page_id)"""
 
 
 @query(f"WITH {_VOCAB} SELECT site, word, spread AS \"on\" FROM v")
 def boilerplate_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    f = features(spark, sf)
-    return pg.vocabulary(pg.page_tokens(f), f)
+    return pg.vocabulary(features(spark, sf))
 
 
 def unique(spark, sf):
     f = features(spark, sf)
-    t = pg.page_tokens(f)
-    return pg.unique_words(t, pg.vocabulary(t, f), f)
+    return pg.unique_words(f, pg.vocabulary(f))
 
 
-@query(f"WITH {_UNIQUE} SELECT * FROM uq")
+@query(f"WITH {UNIQUE} SELECT site, page_id, unique_words, boilerplate_ratio FROM uq")
 def boilerplate_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return unique(spark, sf)
-
-
-@query(f"""WITH {_UNIQUE}, b AS (SELECT site, CASE WHEN unique_words < 40 THEN 0.0 WHEN unique_words < 120 THEN 0.2 WHEN unique_words < 220 THEN 0.55 ELSE 1.0 END AS w FROM uq)
-SELECT site, count(*) AS pages, count(*) FILTER (w = 0.0) AS empty, count(*) FILTER (w = 0.2) AS thin, count(*) FILTER (w = 0.55) AS fair, count(*) FILTER (w = 1.0) AS useful,
- {d.half_up('100 * CAST(sum(CAST(w AS DOUBLE)) AS DOUBLE) / count(*)')} AS useful_pct FROM b GROUP BY site""")
-def site_content_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return pg.inventory(unique(spark, sf))
+    return unique(spark, sf).drop("word_count")
 
 
 @query(f"""WITH {d.MAIN} SELECT page_id, site, title, length(title) AS title_len, regexp_extract(html, '(?i)<html[^>]*\\blang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS h1_count, len(regexp_extract_all(html, '(?i)<p[\\s>]')) AS paragraphs,
