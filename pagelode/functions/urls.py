@@ -12,7 +12,7 @@ TRACKING = (
 )
 ASSETS = r"(?i)\.(css|js|mjs|json|xml|png|jpe?g|webp|avif|gif|svg|ico|woff2?|ttf|eot|otf|mp4|webm|mov|avi|mp3|wav|zip|rar|7z|gz|tar|exe|dmg|apk)$"
 BINARIES = r"(?i)\.(zip|rar|7z|gz|tar|exe|dmg|apk|mp4|webm|mov|avi|mp3|wav)$"
-_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#:]*)(?::(\d+))?([^?#]*)(?:\?([^#]*))?"
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^?#]*)(?:\?([^#]*))?"
 
 
 def scheme(url: Column) -> Column:
@@ -65,9 +65,18 @@ def _origin(url: Column, named: Column) -> Column:
     return F.concat(scheme(url), F.lit("://"), named, F.when(port(url) != "", F.concat(F.lit(":"), port(url))).otherwise(""))
 
 
+def without_dots(path_: Column) -> Column:
+    """A path with its `.` and `..` parts carried out; climbing stops at the root."""
+    parts = F.split(path_, "/")
+    keep = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    done = F.aggregate(parts, F.array().cast("array<string>"), keep)
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+    return F.when(path_.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(ended, "/")).otherwise(path_)
+
+
 def normalize(url: Column) -> Column:
-    """Absolute http(s) form without fragment, default port, doubled slashes and tracking; else null."""
-    trimmed = F.regexp_replace(F.regexp_replace(path(url), "/+", "/"), "(.)/$", "$1")
+    """Absolute http(s) form without fragment, default port, doubled slashes, dots and tracking; else null."""
+    trimmed = F.regexp_replace(F.regexp_replace(without_dots(path(url)), "/+", "/"), "(.)/$", "$1")
     folded = F.when(trimmed == "", "/").otherwise(trimmed)
     return F.when(scheme(url).isin("http", "https") & (host(url) != ""), F.concat(_origin(url, host(url)), folded, kept_query(url)))
 
@@ -88,7 +97,7 @@ def is_internal(url: Column, root: Column, subdomains: bool = False) -> Column:
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """href against an absolute base, without climbing dots."""
+    """href against an absolute base."""
     at_root = F.concat(scheme(base), F.lit("://"), host(base), F.when(port(base) != "", F.concat(F.lit(":"), port(base))).otherwise(""))
     folder = F.regexp_replace(path(base), "[^/]*$", "")
     return (
@@ -96,7 +105,7 @@ def resolve(href: Column, base: Column) -> Column:
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
         .when(href.startswith("/"), F.concat(at_root, href))
         .when(href.startswith("?"), F.concat(at_root, path(base), href))
-        .otherwise(F.concat(at_root, F.when(folder == "", "/").otherwise(folder), href))
+        .otherwise(F.concat(at_root, without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), F.regexp_extract(href, "^[^?#]*", 0))), F.regexp_replace(href, "^[^?#]*", "")))
     )
 
 

@@ -1,4 +1,4 @@
-"""Indexability, page types, checks and scores of pages.
+"""Indexability, page types, checks and scores of pages.
 
 Rules are SQL text over the columns of page_features joined to fetch facts, so that profiles can be
 kept as data; Catalyst compiles them like any other expression."""

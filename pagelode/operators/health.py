@@ -1,4 +1,4 @@
-"""Link health, hosts and certificates."""
+"""Link health and hosts."""
 
 from __future__ import annotations
 
@@ -87,20 +87,6 @@ def version_state(own: Column, newest: Column) -> Column:
     return F.when(own.isNull() | newest.isNull(), "unknown").when(a == b, "current").when(a < b, "older").otherwise("newer")
 
 
-def spf(record: Column) -> dict[str, Column]:
-    """Mechanisms of an SPF record and the qualifier of its all."""
-    parts = F.filter(F.slice(F.split(record, " "), 2, 100), lambda x: x != "")
-    last = F.regexp_extract(record, r"([+~?-]?)all\b", 1)
-    return {"mechanisms": F.size(parts).cast("long"), "all_rule": F.when(~record.rlike(r"\ball\b"), None).when(last == "", "+").otherwise(last)}
-
-
-def cert_status(certs: DataFrame, as_of: Column) -> DataFrame:
-    """certs with `state`: expired, not yet valid, other host (one-label wildcards count), or valid."""
-    wild = F.concat(F.lit("*."), F.regexp_replace("host", r"^[^.]+\.", ""))
-    match = F.exists("sans", lambda s: (s == F.col("host")) | (s == wild))
-    return certs.withColumn("state", F.when(F.col("valid_to") < as_of, "expired").when(F.col("valid_from") > as_of, "not yet valid").when(~match, "other host").otherwise("valid"))
-
-
 def majority(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, votes, agreed): the commonest value, ties to the first in order."""
     n = rows.groupBy(group, value).agg(F.count("*").alias("votes"))

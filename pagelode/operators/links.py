@@ -1,4 +1,4 @@
-"""Links, link graph."""
+"""Links, link graph."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Artefacts and their checks."""
+"""Artefacts and their checks."""
 
 from __future__ import annotations
 

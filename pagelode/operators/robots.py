@@ -1,4 +1,4 @@
-"""Robots rules and crawler policy."""
+"""Robots rules and crawler policy."""
 
 from __future__ import annotations
 
@@ -31,8 +31,8 @@ def pattern(path: Column) -> Column:
     """A rule's path as an anchored regex: * any run, a final $ the end."""
     escaped = F.regexp_replace(path, r"([.+?^(){}|\[\]\\])", r"\\$1")
     starred = F.regexp_replace(escaped, r"\*", ".*")
-    ended = F.regexp_replace(starred, r"\$$", "<end>")
-    return F.concat(F.lit("^"), F.replace(F.regexp_replace(ended, r"\$", r"\\\$"), F.lit("<end>"), F.lit("$")))
+    body = F.regexp_replace(F.regexp_replace(starred, r"\$$", ""), r"\$", r"\\\$")
+    return F.concat(F.lit("^"), body, F.when(F.endswith(path, F.lit("$")), "$").otherwise(""))
 
 
 def verdicts(rules: DataFrame, paths: DataFrame, bots: DataFrame) -> DataFrame:

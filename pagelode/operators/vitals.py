@@ -1,4 +1,4 @@
-"""Page-load timing."""
+"""Page-load timing."""
 
 from __future__ import annotations
 

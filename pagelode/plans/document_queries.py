@@ -40,7 +40,7 @@ pr AS (SELECT a, b, common, {d.half_up('CAST(common AS DOUBLE) / (p.n + q.n - co
 
 def pairs(spark, sf):
     reps = nd.representatives(docs(spark, sf), "doc_id", "text").where("doc_id = rep")
-    return nd.jaccard_pairs(nd.shingle_table(reps, "doc_id", "normal"), "doc_id")
+    return nd.jaccard_pairs(nd.shingle_sets(reps, "doc_id", "normal"), "doc_id")
 
 
 @query(f"WITH {_REPS} SELECT doc_id, rep FROM rp")

@@ -163,9 +163,9 @@ SELECT r.user_id, count(*) AS asked, count(*) FILTER (ok) AS admitted FROM r GRO
 
 @query(_admission("events", 8))
 def stream_admission(spark: SparkSession, sf: str) -> DataFrame:
-    """T1, sliding-window admission per user: eight in ten days; the batch twin of the stateful stream."""
-    e = read_table(spark, sf, "events").select("user_id", "event_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)").alias("t"))
-    return st.admitted(e, 8, 10 * 86_400_000_000).groupBy("user_id").agg(F.count("*").alias("asked"), F.count_if("admitted").alias("admitted"))
+    """T1, sliding-window admission per user: eight in ten days, by a stream that keeps each user's times."""
+    e = st.read_events(spark, sf).select("user_id", "event_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)").alias("t"))
+    return st.drain(st.admission_stream(e, 8, 10 * 86_400_000_000), "stream_admission", "append").groupBy("user_id").agg(F.count("*").alias("asked"), F.count_if("admitted").alias("admitted"))
 
 
 @query("""WITH r AS (SELECT user_id, ts, event_id, count(*) OVER w AS n, sum(value) OVER w AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) SELECT user_id, count(*) AS events, count(*) FILTER (n <= 20 AND v <= 400) AS within FROM r GROUP BY user_id""")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelode.operators.lineage import shared_folder
 
@@ -69,6 +70,24 @@ def admitted(events: DataFrame, most: int, span: int) -> DataFrame:
     return ordered.mapInPandas(run, "user_id long, event_id long, t long, admitted boolean")
 
 
+def admission_stream(events: DataFrame, most: int, span: int) -> DataFrame:
+    """T1 as a stream: the same, with the admitted times still in the window as each user's state. Events
+    of one batch are taken in time order; those of a later batch come after."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = list(state.get[0]) if state.exists else []
+        frame, ok = pd.concat(frames).sort_values(["t", "event_id"]), []
+        for t in frame["t"]:
+            kept = [x for x in kept if x > t - span]
+            ok.append(len(kept) < most)
+            if ok[-1]:
+                kept.append(int(t))
+        state.update((kept,))
+        yield frame.assign(admitted=ok)[["user_id", "event_id", "t", "admitted"]]
+
+    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, t long, admitted boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def within_budget(events: DataFrame, most: int, value: float) -> DataFrame:
     """T4: events with `within`: whether the user's running count and value stay in the budget."""
     running = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)

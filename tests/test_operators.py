@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import text as tx
 from pagelode.functions import urls
-from pagelode.operators import links, neardup, robots, vitals
+from pagelode.operators import domains, links, neardup, pages, profiles, robots, vitals
 from pagelode.streaming import events as st
 
 
@@ -86,7 +86,7 @@ def test_jaccard_pairs_equal_all_pairs(spark):
     docs = {k: " ".join(w if rng.random() > 0.01 * (k % 4) else "x" for w in base[k % 6]) for k in range(40)}
     sh = {k: {" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in docs.items()}
     want = {(i, j) for i in sh for j in sh if i < j and len(sh[i] & sh[j]) / len(sh[i] | sh[j]) >= 0.8}
-    table = neardup.shingle_table(spark.createDataFrame(list(docs.items()), "k long, t string"), "k", "t")
+    table = neardup.shingle_sets(spark.createDataFrame(list(docs.items()), "k long, t string"), "k", "t")
     assert {(r.a, r.b) for r in neardup.jaccard_pairs(table, "k").collect()} == want and want
 
 
@@ -104,3 +104,56 @@ def test_admission_ignores_rejected_events(spark):
     events = spark.createDataFrame([(1, k, t) for k, t in enumerate((0, 1, 2, 10, 11))], "user_id long, event_id long, t long")
     got = {r.event_id: r.admitted for r in st.admitted(events, 2, 10).collect()}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True}
+
+
+def test_admission_stream_keeps_state_between_files(spark, tmp_path):
+    rows = [(1, k, t) for k, t in enumerate((0, 1, 2, 10, 11))] + [(2, 9, 5)]
+    schema = "user_id long, event_id long, t long"
+    spark.createDataFrame(rows[:2], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = st.admission_stream(stream, 2, 10).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame(rows[2:], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    out.trigger(availableNow=True).start().awaitTermination()
+    got = {r.event_id: r.admitted for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 9: True}
+
+
+def test_addresses_with_dots_and_names(spark):
+    df = spark.createDataFrame([("../x?a=/../b", "https://a.com/p/q/r", "http://u:p@Host.com:80//a/../b/./c/")], "href string, base string, url string")
+    got = df.select(urls.resolve(F.col("href"), F.col("base")), urls.normalize(F.col("url")), urls.normalize(F.lit("https://a.com/../../z/.."))).first()
+    assert tuple(got) == ("https://a.com/p/x?a=/../b", "http://host.com/b/c", "https://a.com/")
+
+
+def test_robots_patterns_of_odd_paths(spark):
+    df = spark.createDataFrame([("/a<end>b",), ("/x$",), ("/p$q*",)], "p string")
+    assert [r[0] for r in df.select(robots.pattern(F.col("p"))).collect()] == ["^/a<end>b", "^/x$", "^/p\\$q.*"]
+
+
+def test_scores_worked_out_by_hand(spark):
+    counts = spark.createDataFrame([(100, 50, 5, 2, 1, 0, 0, 1, 0, 3), (1, 1, 0, 0, 0, 0, 0, 0, 0, 0), (40, 9, 30, 9, 9, 9, 9, 9, 9, 9)], "internal int, external int, broken_internal int, broken_external int, dns_errors int, ssl_errors int, server_errors int, loops int, long_chains int, broken_anchors int")
+    # 5 of 100 inside: 4 + 10 = 14; 2 of 50 outside: 2 + 1 = 3; 4 for a name, 8 for a loop, 4.5 for anchors: 66.5 rounds up
+    assert [(r.score, r.grade) for r in profiles.link_score(counts).collect()] == [(67, "Needs Improvement"), (100, "Excellent"), (0, "Critical")]
+    loads = spark.createDataFrame([(2500.0, 350.0, None, 1800.0), (None, None, None, 100.0), (9e9, 900.0, 0.2, None)], "lcp double, inp double, cls double, ttfb double")
+    # (100 * 20 + 50 * 20 + 0 * 8) / 48 = 62.5; nothing of the core; (0 + 0 + 33 * 15) / 55 = 9
+    assert [(r.score, r.grade) for r in profiles.tool_score(loads).collect()] == [(63.0, "Needs Improvement"), (None, None), (9.0, "Poor")]
+    sites = spark.createDataFrame([(True, False, 4, 2, 0, 10, 50), (False, False, 0, 0, 3, 3, 5), (False, True, 2, 0, 0, 2, 10)], "challenge boolean, blocks_all boolean, parsed int, js_heavy int, errors int, fetched int, wanted int")
+    assert [r.confidence for r in profiles.crawl_confidence(sites).collect()] == [45, 12, 60]
+
+
+def test_inventory_bands(spark):
+    rows = [("s", k, words, unique, 0.0) for k, (words, unique) in enumerate([(19, 60), (50, 9), (50, 10), (90, 50), (90, 70), (300, 90), (500, 200)])]
+    got = pages.inventory(spark.createDataFrame(rows, "site string, page_id long, word_count int, unique_words long, boilerplate_ratio double"), F.col("page_id") < 6).first()
+    # 0, 0, 0.2, 0.55, 0.55, 1 over six content pages
+    assert (got.pages, got.content_pages, got.empty, got.thin, got.useful, got.useful_pct, got.thin_pct) == (7, 6, 2, 3, 2, 38.0, 83.0)
+
+
+def test_page_types_by_precedence(spark):
+    df = spark.createDataFrame([("/account", "", "", 0, 0), ("/blog/x", "t", "", 0, 0), ("/blog", "t", "", 0, 0), ("/x", "Privacy", "", 0, 0), ("/z", "t", "", 280, 2), ("/z", "t", "", 279, 2), ("/", "Contact", "", 0, 0)], "path string, title string, h1 string, w int, n int")
+    assert [r[0] for r in df.select(profiles.page_type(F.col("path"), F.col("title"), F.col("h1"), F.col("w"), F.col("n"))).collect()] == ["login", "article", "blog", "privacy", "content", "other", "homepage"]
+
+
+def test_mail_records(spark):
+    df = spark.createDataFrame([("v=spf1 include:a  ~all ip4:1.2.3.4", "v=DMARC1; p = Quarantine ; p=none"), ("v=spf1 all", "v=DMARC1"), ("v=spf1 a mx", None)], "spf string, dmarc string")
+    n, rule = domains.spf_fields(F.col("spf"))
+    assert [tuple(r) for r in df.select(n, rule, domains.tag(F.col("dmarc"), "p")).collect()] == [(2, "~", "Quarantine"), (0, "+", None), (2, None, None)]
