@@ -169,14 +169,28 @@ def eligibility_types(spark: SparkSession, sf: str) -> DataFrame:
     return typed(spark, sf).select("page_id", "page_type")
 
 
-@query(f"""WITH {_TYPED.replace(d.MAIN, sq.UNIQUE)}, x AS (SELECT uq.*, page_type IN ('content', 'article', 'blog') AS c FROM uq JOIN ty ON ty.page_id = uq.page_id),
+def _inventory(content: str) -> str:
+    return f"""WITH {_TYPED.replace(d.MAIN, sq.UNIQUE)}, x AS (SELECT uq.*, {content} AS c FROM uq JOIN ty ON ty.page_id = uq.page_id),
 b AS (SELECT *, CASE WHEN NOT c THEN NULL WHEN word_count < 20 OR unique_words < 10 THEN 0.0 WHEN unique_words < 50 THEN 0.2 WHEN unique_words < 90 THEN 0.55 ELSE 1.0 END AS w FROM x),
 s AS (SELECT site, count(*) AS pages, count(w) AS content_pages, count(*) FILTER (w = 0) AS empty, count(*) FILTER (w IN (0.2, 0.55)) AS thin, count(*) FILTER (c AND unique_words >= 70 AND word_count >= 20) AS useful, CAST(coalesce(sum(w), 0) AS DOUBLE) AS w FROM b GROUP BY site)
-SELECT site, pages, content_pages, empty, thin, useful, CASE WHEN content_pages = 0 THEN 0 ELSE {d.half_up('100 * w / content_pages')} END AS useful_pct, CASE WHEN content_pages = 0 THEN 0 ELSE {d.half_up('100.0 * (empty + thin) / content_pages')} END AS thin_pct FROM s""")
-def site_content_inventory(spark: SparkSession, sf: str) -> DataFrame:
+SELECT site, pages, content_pages, empty, thin, useful, CASE WHEN content_pages = 0 THEN 0 ELSE {d.half_up('100 * w / content_pages')} END AS useful_pct, CASE WHEN content_pages = 0 THEN 0 ELSE {d.half_up('100.0 * (empty + thin) / content_pages')} END AS thin_pct FROM s"""
+
+
+def inventories(spark, sf, content):
     f = typed(spark, sf)
-    rows = pg.unique_words(f, pg.vocabulary(f)).join(f.select("page_id", "page_type"), "page_id")
-    return pg.inventory(rows, F.col("page_type").isin(*pf.CONTENT_TYPES))
+    return pg.inventory(pg.unique_words(f, pg.vocabulary(f)).join(f.select("page_id", "page_type"), "page_id"), content)
+
+
+@query(_inventory("page_type IN ('content', 'article', 'blog')"))
+def site_content_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 over pages whose type is content."""
+    return inventories(spark, sf, F.col("page_type").isin(*pf.CONTENT_TYPES))
+
+
+@query(_inventory("page_type NOT IN ('login', 'search')"))
+def site_page_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 over all pages but those that hold no text of their own."""
+    return inventories(spark, sf, ~F.col("page_type").isin("login", "search"))
 
 
 _KIND = {k: (p, w) for k, p, w in pf.SITE_TYPES}
