@@ -1,11 +1,14 @@
-"""Artefacts and their checks."""
+"""Artefacts and their checks."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import text as tx
+from pagelode.operators.lineage import shared_folder
 
 
 def xml(text: Column) -> Column:
@@ -61,6 +64,25 @@ def feeds(items: DataFrame) -> DataFrame:
     return rows.select("site", "items", F.concat(F.lit('<rss version="2.0"><channel><title>'), "site", F.lit("</title>"), "entries", F.lit("</channel></rss>")).alias("body"))
 
 
+def atom_feeds(items: DataFrame) -> DataFrame:
+    """(site, items, body): an Atom feed of each site's dated items by rank, as old as its newest item."""
+    at = F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    link = lambda href: F.concat(F.lit('<link rel="alternate" href="'), href, F.lit('"/><id>'), href, F.lit("</id>"))
+    entry = F.concat(F.lit("<entry><title>"), xml(F.col("title")), F.lit("</title>"), link(xml(F.col("loc"))), F.lit("<updated>"), at, F.lit("</updated><published>"), at, F.lit("</published></entry>"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry"))))
+    rows = items.groupBy("site").agg(F.count("*").alias("items"), F.max(at).alias("at"), F.array_join(F.transform(listed, lambda x: x["entry"]), "").alias("entries"))
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>'), "site", F.lit("</title>"), link(F.concat(F.lit("https://"), "site", F.lit("/"))), F.lit("<updated>"), "at", F.lit("</updated>"))
+    return rows.select("site", "items", F.concat(head, "entries", F.lit("</feed>")).alias("body"))
+
+
+def exported(rows: DataFrame, kind: str, folder: str | None = None) -> DataFrame:
+    """rows as `csv` or `json` files of a new folder, by default in the shared one, and what they give when read."""
+    options = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False} if kind == "csv" else {}
+    folder = folder or f"{shared_folder(rows.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    rows.write.format(kind).options(**options).save(folder)
+    return rows.sparkSession.read.format(kind).schema(rows.schema).options(**options).load(folder)
+
+
 def read_feeds(files: DataFrame) -> DataFrame:
     """(site, pos, title, link, published): items of RSS bodies."""
     item = F.regexp_extract_all("body", F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))

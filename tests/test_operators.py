@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import text as tx
 from pagelode.functions import urls
+from pagelode.operators import audits as au
 from pagelode.operators import domains, links, neardup, pages, profiles, robots, vitals
+from pagelode.operators import outputs as out
 from pagelode.streaming import events as st
 
 
@@ -157,3 +159,81 @@ def test_mail_records(spark):
     df = spark.createDataFrame([("v=spf1 include:a  ~all ip4:1.2.3.4", "v=DMARC1; p = Quarantine ; p=none"), ("v=spf1 all", "v=DMARC1"), ("v=spf1 a mx", None)], "spf string, dmarc string")
     n, rule = domains.spf_fields(F.col("spf"))
     assert [tuple(r) for r in df.select(n, rule, domains.tag(F.col("dmarc"), "p")).collect()] == [(2, "~", "Quarantine"), (0, "+", None), (2, None, None)]
+
+
+def by(df, *keys):
+    return {tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: r for r in df.collect()}
+
+
+def test_long_form_needs_words_and_other_signs(spark):
+    row = lambda site, kind, words, unique, paras, heads, ratio, sents: (site, kind, kind == "article", words, unique, paras, heads, ratio, sents)
+    rows = [
+        row("a", "article", 800, 160, 6, 0, 0.2, 1), row("a", "article", 499, 300, 9, 9, 0.0, 50), row("b", "article", 500, 159, 9, 9, 0.0, 50), row("b", "category", 39, 0, 0, 0, 0.0, 0),
+        row("c", "other", 900, 900, 9, 9, 0.0, 50), row("d", "article", 500, 160, 4, 2, 0.5, 19), row("d", "article", 500, 160, 4, 2, 0.51, 20),
+    ]
+    got = by(au.long_form(spark.createDataFrame(rows, "site string, page_type string, content boolean, word_count int, unique_words int, paragraphs int, headings int, boilerplate_ratio double, sentences int")), "site")
+    assert (got["a"].long_form, got["a"].coverage, got["a"].status, got["a"].requirement) == (1, 50.0, "passed", "Likely")
+    assert (got["b"].long_form, got["b"].empty_categories, got["b"].status, got["b"].requirement) == (0, 1, "high", "Not Met")
+    assert (got["c"].eligible, got["c"].status) == (0, "medium")
+    assert (got["d"].long_form, got["d"].coverage) == (1, 50.0)
+
+
+def test_markup_of_a_page(spark):
+    html = """<html><head><meta name="author" content="Ann B"><script src="https://www.googletagmanager.com/gtag/js"></script><script src='//pagead2.googlesyndication.com/x.js'></script></head>
+    <body><h1>Best <b>guide</b></h1><h2>Tips</h2><h3>No</h3><iframe src="https://x.example/ads/1"></iframe><ins class="adsbygoogle" data-ad-slot="3"></ins><a href="/f.zip">f</a> <a href="/download">d</a> <a target="_blank" href="https://s.example">s</a></body></html>"""
+    plain = "<p class='byline'>By Cy</p>"
+    got = by(au.markup(spark.createDataFrame([(1, html), (2, plain), (3, None)], "page_id long, html string")), "page_id")
+    assert (got[1].heads, got[1].author, got[1].cited, got[1].slots, got[1].networks, got[1].downloads) == (["best guide", "tips"], "Ann B", True, 4, ["Google AdSense"], 2)
+    assert (got[2].heads, got[2].author, got[2].cited, got[2].slots, got[2].networks) == ([], "By Cy", False, 0, [])
+    assert got[3].author is None
+
+
+def test_risks_of_pages(spark):
+    kind = "site string, page_id long, content boolean, main_text string, author string, cited boolean, sources int, stock_intro boolean, phrase4 long, boilerplate_ratio double, unique_words int, keyword string, keyword_uses long, word_count int, heads array<string>"
+    rows = [
+        ("a", 1, True, "In conclusion, nothing.", None, False, 0, True, 8, 0.71, 20, "shoes", 14, 300, ["shoes", "best shoes", "top shoes", "vs guide"]),
+        ("a", 2, True, "I tested it.", "Ann", False, 0, False, 0, 0.1, 100, "shoes", 14, 312, ["shoes"]), ("b", 3, False, "x", None, False, 0, False, 0, 0.0, 1, None, 0, 1, []),
+    ]
+    pages = spark.createDataFrame(rows, kind)
+    assert {r.page_id: (r.risk, r.status) for r in au.search_first(pages).collect()} == {1: (8, "high"), 2: (0, "passed"), 3: (0, "passed")}
+    assert {r.page_id: r.risk for r in au.human_signals(pages).collect()} == {1: 8, 2: 0}
+    sites = by(au.human_involvement(pages), "site")
+    assert (sites["a"].author_pct, sites["a"].first_pct, sites["a"].low_pct, sites["a"].status, sites["b"].status) == (50.0, 50.0, 50.0, "medium", "manual")
+
+
+def test_scores_of_categories_and_sites(spark):
+    findings = spark.createDataFrame(
+        [
+            ("a", "X", "content", "passed", "/x", 4, 100, None), ("a", "X", "content", "high", "Site", 4, 50, "3/4"), ("a", "X", "content", "info", "Site", 9, 100, None), ("a", "TECH_NOINDEX", "tech", "critical", "/", 5, None, "4%"), ("a", "X", "policy", "high", "/p", None, 100, None),
+            ("b", "X", "monetization", "passed", "/", 3, 80, None), ("b", "EZ-HTTPS", "tech", "passed", "/", 3, 80, None),
+        ],
+        "site string, id string, category string, status string, page string, weight int, confidence int, affected string",
+    )
+    inventory = spark.createDataFrame([("a", 5, 80, 0, 0, "blog"), ("b", 5, 80, 0, 0, "blog"), ("c", 0, 0, 0, 0, "blog")], "site string, content_pages int, useful_pct int, thin_pct int, dup_pct int, site_type string")
+    scores = au.category_scores(findings, inventory)
+    got = by(scores, "site", "category")
+    # 4 / (4 + 4 * 0.82 * 0.5 * 1.35 * 1.15) = 0.611
+    assert (got["a", "content"].pct, got["a", "content"].score) == (61, 12)
+    assert (got["a", "tech"].score, got["a", "policy"].score, got["a", "ux"].score) == (0, 0, 9)
+    assert (got["b", "ezoic"].score, got["b", "tech"].score, got["c", "content"].pct, got["c", "content"].score) == (30, 15, 32, 6)
+    sites = by(au.site_verdicts(scores, findings, inventory), "site")
+    assert (sites["a"].total, sites["a"].caps, sites["a"].verdict) == (35, "noindex", "Not Ready")
+    # 30 + 12 + 15 + 9 + 6 + 6
+    assert (sites["b"].total, sites["b"].caps, sites["b"].verdict) == (78, "", "Likely Ready")
+    assert sites["c"].verdict == "Needs Improvement"
+
+
+def test_trust_and_traffic(spark):
+    sites = spark.createDataFrame([("a", True, False, False), ("b", False, True, False)], "site string, email boolean, phone boolean, form boolean")
+    found = spark.createDataFrame([("a", "privacy", 60, "We collect cookies.", True), ("a", "about", 59, "x", True), ("b", "privacy", 139, "x", True), ("b", "contact", 1, "x", False), ("b", "terms", 1, "x", False)], "site string, key string, words int, text string, linked boolean")
+    got = {(r.site, r.id): r.status for r in au.trust(sites, found).collect()}
+    assert [got["a", k] for k in ("privacy", "contact", "about", "terms")] == ["passed", "low", "medium", "low"]
+    assert [got["b", k] for k in ("privacy", "contact", "about", "terms")] == ["medium", "passed", "medium", "passed"]
+    pages = spark.createDataFrame([("a", "https://a.example/buy-traffic/", "Get paid to read. 3,000 monthly visitors", ["gtm.js"]), ("a", "https://a.example/", "traffic generator", [])], "site string, url string, visible_text string, script_urls array<string>")
+    assert au.traffic_signals(pages).collect()[0].asDict() == {"site": "a", "exchange": 1, "incentive": 1, "claims": 1, "tracked": 1, "generators": 1}
+
+
+def test_exports_keep_signs_and_nulls(spark):
+    rows = spark.createDataFrame([(1, 'a, "b"\nc'), (2, " x "), (3, None)], "k long, v string")
+    for kind in ("csv", "json"):
+        assert {r.k: r.v for r in out.exported(rows, kind).collect()} == {1: 'a, "b"\nc', 2: " x ", 3: None}
