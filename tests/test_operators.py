@@ -8,6 +8,7 @@ from pagelode.functions import urls
 from pagelode.operators import audits as au
 from pagelode.operators import domains, links, neardup, pages, profiles, robots, vitals
 from pagelode.operators import outputs as out
+from pagelode.operators import seo_audit as seo
 from pagelode.streaming import events as st
 
 
@@ -237,3 +238,37 @@ def test_exports_keep_signs_and_nulls(spark):
     rows = spark.createDataFrame([(1, 'a, "b"\nc'), (2, " x "), (3, None)], "k long, v string")
     for kind in ("csv", "json"):
         assert {r.k: r.v for r in out.exported(rows, kind).collect()} == {1: 'a, "b"\nc', 2: " x ", 3: None}
+
+
+def test_seo_facts_and_rules_of_literal_pages(spark):
+    first = """<html lang="en"><head><title>Shoes for long walks in the hills</title><meta name="description" content="Short"><meta name="viewport" content="width=device-width"><link rel="canonical" href="https://a.com/"><link rel="alternate" hreflang="english" href="/en"><link rel="alternate" hreflang="en-US" href="/us">
+    <script src="/a.js"></script><script defer src="https://cdn.x.com/b.js"></script><script type="application/ld+json">{"@type": "Thing"}</script><script type="application/ld+json">{bad</script><style>@media print{p{margin:0}}</style></head>
+    <body><h1>Shoes</h1><h3>Skipped</h3><img src="http://a.com/1.webp" alt="one" width="1" height="1" loading="lazy"><img src="/2.png" alt=""><img src="/3.png"><a href="/x">x</a><a href="#top">top</a><a href="https://www.a.com/y"></a>
+    <a href="https://b.com" target="_blank" rel="nofollow">b</a><a href="https://b.com/2" target="_blank" rel="noopener sponsored">b</a><article>shoes shoes</article></body></html>"""
+    second = '<html><head><title>Shoes for long walks in the hills</title><meta name="robots" content="noindex, nofollow"></head><body></body></html>'
+    raw = spark.createDataFrame([(1, "https://a.com/", first), (2, "https://a.com/b/", second), (3, "https://a.com/c", second)], "page_id long, url string, html string")
+    f = pages.page_features(raw)
+    fetched = spark.createDataFrame([(1, 200), (2, 404), (3, 301)], "page_id long, status int")
+    rows = seo.page_facts(f, raw, fetched, pages.top_keywords(pages.page_tokens(f), 1)).cache()
+    got = by(rows, "page_id")
+    names = "h1s h2s headings skips keyword_in_title images no_alt empty_alt modern lazy unsized blocking foreign_scripts schemas bad_schema inner_links outer_links empty_anchors alternates bad_alternates media_queries mixed nofollow_links sponsored_links open_tabs"
+    assert [got[1][n] for n in names.split()] == [1, 0, 2, True, True, 3, 1, 1, 1, 1, 2, 1, 1, 2, 1, 2, 2, 1, 2, 1, 1, 1, 1, 1, 1]
+    assert (got[2].noindex, got[2].nofollow, got[2].images) == (True, True, 0)
+    found = {(r.page_id, r["check"]): r.status for r in seo.checked(rows, seo.PAGE_RULES, "site", "page_id").collect()}
+    assert [found[1, c] for c in ("HTTP status", "Canonical URL", "Title tag", "Meta description", "Heading hierarchy", "Word count", "Image alt text", "Structured data", "Empty anchor text")] == ["pass", "pass", "pass", "warning", "warning", "critical", "warning", "critical", "warning"]
+    assert (found[2, "HTTP status"], found[3, "Redirect"], found[2, "No internal links"], found[2, "Image alt text"]) == ("critical", "warning", "critical", "info")
+    assert (3, "HTTP status") not in found
+    flags = "has_robots blocks_all has_sitemap hsts csp frame_options type_options referrer_policy permissions_policy gptbot claudebot perplexitybot google_extended".split()
+    answer = spark.createDataFrame([("a.com", *[n in ("has_robots", "hsts", "gptbot") for n in flags], "br", "", 700)], "site string, " + ", ".join(f"{n} boolean" for n in flags) + ", encoding string, cache_control string, ms int")
+    site = seo.site_facts(rows, answer).cache()
+    assert [site.first()[n] for n in ("pages", "https", "home_lang", "slash_ends", "bare_ends", "shared_titles", "shared_descriptions", "shared_paths", "open_tabs")] == [3, True, "en", 1, 1, 1, 0, 0, 1]
+    said = {(r["check"], r.weight): r.status for r in seo.checked(site, seo.SITE_RULES, "site").collect()}
+    assert [said[k] for k in (("Trailing slash", 2), ("Duplicate titles", 4), ("Mixed content", 4), ("HSTS", 1), ("CSP", 3), ("GPTBot access", 2), ("Server response time", 2), ("Browser caching", 2))] == ["warning", "warning", "critical", "pass", "warning", "warning", "warning", "warning"]
+    assert ("HSTS", 3) not in said and ("Duplicate URLs", 3) not in said
+
+
+def test_seo_scores_leave_info_out(spark):
+    rows = spark.createDataFrame([("a", "Images", 3, "info"), ("a", "Mobile", 5, "pass"), ("a", "Content", 4, "critical"), ("a", "Content", 1, "warning")], "site string, grp string, weight int, status string")
+    got = {r.grp: (r.checks, r.score, r.grade) for r in seo.audit_scores(rows).collect()}
+    # (5 * 100 + 4 * 0 + 1 * 60) / 10 and (0 + 60) / 5
+    assert got == {None: (3, 56.0, "D"), "Mobile": (1, 100.0, "A"), "Content": (2, 12.0, "F")}
