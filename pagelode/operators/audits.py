@@ -1,4 +1,4 @@
-"""Audits of content by evidence that adds up, and what it makes of a site."""
+"""Audits of content by evidence that adds up, and what it makes of a site."""
 
 from __future__ import annotations
 
@@ -228,6 +228,46 @@ def site_verdicts(scores: DataFrame, findings: DataFrame, inventory: DataFrame)
     return scored.select("site", "total", "caps", verdict.alias("verdict"))
 
 
+#: Fixed values of the second readiness score: categories, effects of a status, and the findings on whole sites.
+SITE_CATEGORIES = (("content", 25), ("trust", 20), ("policy", 20), ("ux", 15), ("tech", 10), ("perf", 10))
+SITE_IMPACT = (("passed", 1.0), ("low", 0.85), ("medium", 0.55), ("high", 0.2), ("critical", 0.0))
+SITE_WIDE = ("CONTENT_WEAK_RATIO", "CONTENT_DUP_RATIO", "CONTENT_USEFUL_RATIO", "CONTENT_PLACEHOLDER", "CONTENT_SIMILAR_META", "CONTENT_CANNIBAL", "ARCH_ORPHAN", "POLICY_FINDING", "TECH_NOINDEX", "TECH_MIXED", "TRUST_CONTACT_INFO", "TRUST_PLACEHOLDER")
+
+
+def ratio_scores(findings: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(site, category, pct, score) for each site of inventory and each of SITE_CATEGORIES: seven tenths from
+    findings on the whole site, three from those on pages, under caps on thin content; info counts nowhere."""
+    c = F.col
+    impact, sure, weight = cases([(c("status") == s, x) for s, x in SITE_IMPACT], 1.0), F.coalesce("confidence", F.lit(100)) / 100, F.coalesce("weight", F.lit(3)).cast("double")
+    wide = c("id").isin(*SITE_WIDE)
+    whole = wide & ((c("page") == "Site") | (F.coalesce("affected", F.lit("")) != ""))
+    sums = findings.where("status <> 'info'").groupBy("site", "category").agg(
+        F.sum(F.when(whole, weight * impact * sure)).alias("earned"), F.sum(F.when(whole, weight)).alias("most_earned"), F.sum(F.when(~wide & (c("status") == "passed"), weight)).alias("plus"), F.sum(F.when(~wide & (c("status") != "passed"), weight * (1 - impact) * sure)).alias("minus")
+    )
+    cats = inventory.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.lit(w).alias("most")) for k, w in SITE_CATEGORIES])).alias("x")).select("*", "x.*").drop("x")
+    rows = cats.join(sums, ["site", "category"], "left").fillna(0.0, ["earned", "most_earned", "plus", "minus"])
+    ratio, page = F.when(c("most_earned") > 0, c("earned") / c("most_earned")), F.when(c("plus") + c("minus") > 0, c("plus") / (c("plus") + c("minus")))
+    raw = F.coalesce(0.7 * ratio + 0.3 * page, ratio, 0.4 + 0.6 * page, F.lit(0.65))
+    n, useful, thin, dup = c("content_pages"), c("useful_pct"), c("thin_pct"), c("dup_pct")
+    cap = F.least(cases([(n == 0, 0.25), (n < 3, 0.55), (useful < 35, 0.45), (thin >= 60, 0.5), (dup >= 40, 0.55)], 1.0), F.when(n >= 3, cases([(useful < 20, 0.4), (thin >= 50, 0.5), (dup >= 40, 0.5)], 1.0)).otherwise(1.0))
+    pct = F.round(F.least(raw, F.when(c("category") == "content", cap).otherwise(1.0)), 9)
+    return rows.select("site", "category", tx.half_up(pct * 100).cast("long").alias("pct"), tx.half_up(F.round(pct * c("most"), 6)).cast("long").alias("score"))
+
+
+def ratio_verdicts(scores: DataFrame, findings: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(site, total, verdict): the sum of ratio_scores under the caps of blockers and thin sites, in order."""
+    c = F.col
+    policy = c("category") == "policy"
+    marks = findings.groupBy("site").agg(F.bool_or(policy & (c("status") == "critical")).alias("critical"), F.count_if(policy & (c("status") == "high")).alias("high"), F.bool_or((c("id") == "TECH_NOINDEX") & (c("page") == "Site")).alias("closed"), F.bool_or((c("id") == "TECH_HTTPS") & (c("status") != "passed")).alias("insecure"))
+    rows = scores.groupBy("site").agg(F.sum("score").alias("sum")).join(inventory, "site").join(marks, "site", "left").fillna(False, ["critical", "closed", "insecure"]).fillna(0, ["high"])
+    sized, total = c("content_pages") >= 3, c("sum")
+    few = sized & (c("useful_pct") < 20)
+    for holds, most in ((c("critical"), 20), (c("closed"), 10), ((c("high") >= 3) & ~c("critical"), 40), (c("insecure"), None), (few, 40), (sized & ~few & (c("thin_pct") >= 60), 50)):
+        total = F.when(holds, F.least(total, F.greatest(total - 12, F.lit(25)) if most is None else F.lit(most))).otherwise(total)
+    scored = rows.select("site", total.cast("long").alias("total"))
+    return scored.withColumn("verdict", cases([(c("total") < 40, "Not Ready"), (c("total") < 65, "Needs Improvement"), (c("total") < 80, "Almost Ready")], "Likely Ready"))
+
+
 def llms_quality(entries: DataFrame, stats: DataFrame) -> DataFrame:
     """(site, pages, score) of the entries (site, title, description, category, broken, duplicate, canonicalized)
     of an llms.txt file and stats (site, sections, discovered): eight components."""

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.functions import text as tx
+from pagelode.functions import urls
 from pagelode.operators import audits as au
+from pagelode.operators import categories as ca
 from pagelode.operators import outputs as out
 from pagelode.plans import duck as d
 from pagelode.plans import output_queries as oq
@@ -213,3 +215,65 @@ def csv_export(spark: SparkSession, sf: str) -> DataFrame:
 def json_export(spark: SparkSession, sf: str) -> DataFrame:
     """K2: a JSON object a line, read again."""
     return out.exported(labels(spark, sf), "json")
+
+
+_WIDE = """SELECT site, CASE page_id % 9 WHEN 0 THEN 'TECH_NOINDEX' WHEN 1 THEN 'CONTENT_DUP_RATIO' WHEN 2 THEN 'POLICY_FINDING' WHEN 3 THEN 'TECH_HTTPS' WHEN 4 THEN 'ARCH_ORPHAN' ELSE 'OTHER' END AS id, CASE page_id % 6 WHEN 0 THEN 'content' WHEN 1 THEN 'trust' WHEN 2 THEN 'policy' WHEN 3 THEN 'ux' WHEN 4 THEN 'tech' ELSE 'perf' END AS category,
+ CASE (page_id * 3 + n) % 7 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'critical' WHEN 4 THEN 'info' ELSE 'passed' END AS status, CASE WHEN page_id % 4 < 2 THEN 'Site' ELSE '/x' END AS page, CASE WHEN page_id % 5 > 0 THEN CAST(page_id % 5 AS INT) END AS weight,
+ CASE WHEN page_id % 5 <> 1 THEN CAST(60 + page_id % 40 AS INT) END AS confidence, CASE WHEN page_id % 3 = 0 THEN '3/4' END AS affected FROM {pg}"""
+_RATIO = f"""{pq._PG}, {pq._as('fi', _WIDE)}, {pq._as('iv', _INVENTORY)},
+z AS (SELECT site, category, status, CAST(coalesce(weight, 3) AS DOUBLE) AS w, coalesce(confidence, 100) / 100 AS k, CASE status WHEN 'passed' THEN 1 WHEN 'low' THEN 0.85 WHEN 'medium' THEN 0.55 WHEN 'high' THEN 0.2 ELSE 0 END AS im, id IN ({d.names(au.SITE_WIDE)}) AS wide, page = 'Site' OR affected IS NOT NULL AS whole FROM fi WHERE status <> 'info'),
+s AS (SELECT site, category, sum(w * im * k) FILTER (wide AND whole) / sum(w) FILTER (wide AND whole) AS r, sum(w) FILTER (NOT wide AND status = 'passed') AS plus, sum(w * (1 - im) * k) FILTER (NOT wide AND status <> 'passed') AS minus FROM z GROUP BY ALL),
+y AS (SELECT iv.*, v.category, v.most, r, CASE WHEN coalesce(plus, 0) + coalesce(minus, 0) > 0 THEN coalesce(plus, 0) / (coalesce(plus, 0) + coalesce(minus, 0)) END AS p FROM iv CROSS JOIN (VALUES ('content', 25), ('trust', 20), ('policy', 20), ('ux', 15), ('tech', 10), ('perf', 10)) AS v(category, most) LEFT JOIN s ON s.site = iv.site AND s.category = v.category),
+q AS (SELECT *, CASE WHEN r IS NOT NULL AND p IS NOT NULL THEN 0.7 * r + 0.3 * p WHEN r IS NOT NULL THEN r WHEN p IS NOT NULL THEN 0.4 + 0.6 * p ELSE 0.65 END AS raw, CASE WHEN category <> 'content' THEN 1 WHEN content_pages = 0 THEN 0.25 WHEN content_pages < 3 THEN 0.55 WHEN useful_pct < 20 THEN 0.4 WHEN useful_pct < 35 THEN 0.45 WHEN thin_pct >= 50 OR dup_pct >= 40 THEN 0.5 ELSE 1 END AS cap FROM y),
+cs AS (SELECT site, category, CAST({d.half_up('round(least(raw, cap), 9) * 100')} AS BIGINT) AS pct, CAST({d.half_up('round(round(least(raw, cap), 9) * most, 6)')} AS BIGINT) AS score FROM q)"""
+
+
+@query(f"WITH {_RATIO} SELECT * FROM cs")
+def ratio_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return au.ratio_scores(pq.derived(spark, sf, _WIDE), pq.derived(spark, sf, _INVENTORY))
+
+
+@query(f"""WITH {_RATIO}, t AS (SELECT site, CAST(sum(score) AS BIGINT) AS t FROM cs GROUP BY site), m AS (SELECT site, bool_or(category = 'policy' AND status = 'critical') AS a, count(*) FILTER (category = 'policy' AND status = 'high') AS b, bool_or(id = 'TECH_NOINDEX' AND page = 'Site') AS i, bool_or(id = 'TECH_HTTPS' AND status <> 'passed') AS h FROM fi GROUP BY site),
+w AS (SELECT iv.site, least(t, CASE WHEN a THEN 20 ELSE 100 END, CASE WHEN i THEN 10 ELSE 100 END, CASE WHEN b >= 3 AND NOT a THEN 40 ELSE 100 END) AS t1, h, CASE WHEN content_pages < 3 THEN 100 WHEN useful_pct < 20 THEN 40 WHEN thin_pct >= 60 THEN 50 ELSE 100 END AS c FROM t JOIN m ON m.site = t.site JOIN iv ON iv.site = t.site),
+e AS (SELECT site, CAST(least(CASE WHEN h THEN least(t1, greatest(t1 - 12, 25)) ELSE t1 END, c) AS BIGINT) AS total FROM w) SELECT site, total, CASE WHEN total < 40 THEN 'Not Ready' WHEN total < 65 THEN 'Needs Improvement' WHEN total < 80 THEN 'Almost Ready' ELSE 'Likely Ready' END AS verdict FROM e""")
+def ratio_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    findings, inventory = pq.derived(spark, sf, _WIDE), pq.derived(spark, sf, _INVENTORY)
+    return au.ratio_verdicts(au.ratio_scores(findings, inventory), findings, inventory)
+
+
+_MARKS = """SELECT page_id, CASE page_id % 7 WHEN 0 THEN array('Home', 'API Docs') WHEN 1 THEN array('Our Team') ELSE array() END AS crumbs, CASE page_id % 5 WHEN 0 THEN array('product', 'article') WHEN 1 THEN array('faqpage') ELSE array() END AS types,
+ CASE page_id % 6 WHEN 0 THEN 'article' WHEN 1 THEN 'product.item' ELSE '' END AS og_type, CASE page_id % 4 WHEN 0 THEN array('Help') WHEN 1 THEN array('Latest news', 'Guides') ELSE array() END AS labels, CASE page_id % 3 WHEN 0 THEN 'A guide | Tools' WHEN 1 THEN 'About us' ELSE '' END AS headings FROM {pg}"""
+_RULE = ", ".join(f"({k}, '{n}', [{d.names(s.split())}], [{d.names(c.split(','))}], '(?i){t}', '{v}')" for k, (n, s, c, t, v) in enumerate(ca.CATEGORIES))
+_TYPE_OF = ", ".join(f"('{t}', '{c}')" for t, c in ca.TYPES.items())
+
+
+@query(f"""WITH {d.MAIN}, mk AS ({_MARKS.replace('{pg}', 'f').replace("array()", "CAST([] AS VARCHAR[])").replace("array('", "list_value('")}), ru AS (SELECT * FROM (VALUES {_RULE}) AS v(k, cat, segs, keys, title_p, nav_p)), ty AS (SELECT * FROM (VALUES {_TYPE_OF}) AS v(t, cat)),
+sg AS (SELECT page_id, unnest(x) AS s, unnest(range(0, len(x))) AS i FROM (SELECT page_id, [y for y in string_split(lower(path), '/') if y <> ''] AS x FROM f) AS a), tt AS (SELECT page_id, unnest(types) AS t, unnest(range(0, len(types))) AS i FROM mk), nv AS (SELECT page_id, min(k) AS k FROM mk, ru WHERE regexp_matches(lower(array_to_string(labels, ' | ')), nav_p) GROUP BY page_id),
+vo AS (SELECT page_id, cat, 4 AS w, i AS o FROM sg JOIN ru ON list_contains(segs, s) UNION ALL SELECT page_id, cat, 3, 1000 + k FROM mk, ru WHERE len([c for c in crumbs if len([q for q in keys if contains(lower(c), q)]) > 0]) > 0 UNION ALL SELECT page_id, cat, 5, 2000 + i FROM tt JOIN ty USING (t)
+ UNION ALL SELECT page_id, CASE og_type WHEN 'article' THEN 'Blog' ELSE 'Products' END, 3, 3000 FROM mk WHERE og_type <> '' UNION ALL SELECT page_id, cat, 2, 4000 + k FROM mk, ru WHERE regexp_matches(headings, title_p) UNION ALL SELECT page_id, cat, 2, 5000 + k FROM f, ru WHERE regexp_matches(title, title_p) UNION ALL SELECT page_id, cat, 4, 6000 FROM nv JOIN ru ON ru.k = nv.k),
+r AS (SELECT page_id, cat, sum(w) AS votes, row_number() OVER (PARTITION BY page_id ORDER BY sum(w) DESC, cat = 'Documentation' DESC, min(o)) AS r FROM vo GROUP BY page_id, cat)
+SELECT f.page_id, CASE WHEN path IN ('', '/') THEN 'Home' ELSE coalesce(cat, 'Other') END AS category, CAST(CASE WHEN path IN ('', '/') THEN 0 ELSE coalesce(votes, 0) END AS INT) AS votes FROM f LEFT JOIN r ON r.page_id = f.page_id AND r.r = 1""")
+def llms_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """C2; breadcrumbs, types, labels and headings follow from the page's number."""
+    f = sq.features(spark, sf).select("page_id", "path", "title", urls.segments(F.col("url")).alias("segments"))
+    return ca.categories(f.join(pq.derived(spark, sf, _MARKS), "page_id"))
+
+
+_PAINT = "SELECT event_id AS load_id, value * 40 AS paint, CASE WHEN event_id % 5 <> 0 THEN value * 3 END AS ttfb, CASE WHEN event_id % 3 <> 0 THEN value * (event_id % 11) END AS start, CASE WHEN event_id % 7 <> 0 THEN value * (event_id % 13) END AS duration FROM {ev}"
+
+
+@query(f"""WITH l AS ({_PAINT.replace('{ev}', 'events')}), x AS (SELECT *, CASE WHEN start IS NOT NULL THEN {d.half_up('greatest(0, start - coalesce(ttfb, 0))', 1)} END AS load_delay, CASE WHEN start IS NOT NULL THEN {d.half_up('duration', 1)} END AS load_duration, CASE WHEN start IS NOT NULL THEN {d.half_up('greatest(0, paint - start - coalesce(duration, 0))', 1)} END AS render_delay, {d.half_up('ttfb', 1)} AS t FROM l)
+SELECT load_id, load_delay, load_duration, render_delay, CASE WHEN load_delay IS NULL OR load_duration IS NULL OR render_delay IS NULL THEN NULL WHEN t >= greatest(load_delay, load_duration, render_delay) THEN 'TTFB' WHEN load_delay >= greatest(load_duration, render_delay) THEN 'Load delay' WHEN load_duration >= render_delay THEN 'Load duration' ELSE 'Render delay' END AS bottleneck FROM x""")
+def load_phases(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ca.load_phases(spark.sql(_PAINT, ev=read_table(spark, sf, "events")))
+    return rows.select("load_id", "load_delay", "load_duration", "render_delay", "bottleneck")
+
+
+_LOAD = """SELECT event_id AS load_id, CASE WHEN event_id % 4 = 0 THEN 'lazy' ELSE 'eager' END AS loading, event_id % 3 = 0 AS in_viewport, event_id % 5 = 0 AS preloaded, CASE WHEN event_id % 2 = 0 THEN 'high' ELSE '' END AS fetchpriority, CASE WHEN event_id % 7 <> 0 THEN 100 * (event_id % 9) END AS natural_w, 100 * (event_id % 4) AS rendered_w, 1000 * (event_id % 1000) AS bytes,
+ CASE event_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'webp' ELSE 'jpg' END AS format, CASE WHEN event_id % 11 <> 0 THEN event_id % 7000 END AS nodes, event_id % 60 AS depth, value AS longest_frame, event_id % 9 AS long_tasks FROM {ev}"""
+
+
+@query(f"""WITH l AS ({_LOAD.replace('{ev}', 'events')}) SELECT load_id, i.issue, i.severity FROM l, LATERAL (VALUES ('lcp-lazy', 'critical', load_id % 12 = 0), ('lcp-priority', 'high', load_id % 5 <> 0 AND load_id % 2 = 1), ('lcp-oversized', 'high', load_id % 7 <> 0 AND load_id % 4 > 0 AND load_id % 9 > 2 * (load_id % 4)), ('lcp-format', 'medium', load_id % 1000 > 512 AND load_id % 3 <> 1),
+ ('dom-very-large', 'high', nodes > 5000), ('dom-large', 'medium', nodes BETWEEN 1501 AND 5000), ('dom-deep', 'low', load_id % 60 > 40), ('loaf', 'medium', longest_frame > 200), ('mainthread-busy', 'medium', load_id % 9 > 5)) AS i(issue, severity, holds) WHERE i.holds""")
+def load_issues(spark: SparkSession, sf: str) -> DataFrame:
+    return ca.load_issues(spark.sql(_LOAD, ev=read_table(spark, sf, "events")))

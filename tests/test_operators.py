@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagelode.functions import text as tx
 from pagelode.functions import urls
 from pagelode.operators import audits as au
+from pagelode.operators import categories as ca
 from pagelode.operators import domains, links, neardup, pages, profiles, robots, vitals
 from pagelode.operators import outputs as out
 from pagelode.operators import seo_audit as seo
@@ -272,3 +273,36 @@ def test_seo_scores_leave_info_out(spark):
     got = {r.grp: (r.checks, r.score, r.grade) for r in seo.audit_scores(rows).collect()}
     # (5 * 100 + 4 * 0 + 1 * 60) / 10 and (0 + 60) / 5
     assert got == {None: (3, 56.0, "D"), "Mobile": (1, 100.0, "A"), "Content": (2, 12.0, "F")}
+
+
+def test_categories_by_votes(spark):
+    kind = "page_id long, path string, title string, headings string, segments array<string>, crumbs array<string>, types array<string>, og_type string, labels array<string>"
+    rows = [
+        (1, "/", "Docs", "", [], [], [], "", []), (2, "/x", "", "", ["x"], [], [], "", []), (3, "/blog/docs", "", "", ["blog", "docs"], [], [], "", []), (4, "/faq/blog", "", "", ["faq", "blog"], [], [], "", []),
+        (5, "/blog/a", "Blog", "", ["blog", "a"], [], ["product", "article"], "product", []), (6, "/a", "A tool", "How to", ["a"], ["Our Team"], [], "", ["About", "Contact"]), (7, None, None, None, None, None, None, None, None),
+    ]
+    got = {r.page_id: (r.category, r.votes) for r in ca.categories(spark.createDataFrame(rows, kind)).collect()}
+    # 5: Blog 4 + 5 + 2 against Products 5 + 3; 6: About 3 + 4
+    assert got == {1: ("Home", 0), 2: ("Other", 0), 3: ("Documentation", 4), 4: ("FAQ", 4), 5: ("Blog", 11), 6: ("About", 7), 7: ("Other", 0)}
+
+
+def test_phases_and_issues_of_loads(spark):
+    loads = spark.createDataFrame([(1, 2500.0, 300.0, 800.0, 900.0), (2, 900.0, 400.0, 500.0, 100.0), (3, 900.0, 400.0, None, None), (4, 900.0, None, 500.0, None)], "load_id long, paint double, ttfb double, start double, duration double")
+    got = by(ca.load_phases(loads), "load_id")
+    assert [got[1][c] for c in ("load_delay", "load_duration", "render_delay", "bottleneck")] == [500.0, 900.0, 800.0, "Load duration"]
+    assert (got[2].load_delay, got[2].bottleneck, got[3].load_delay, got[3].bottleneck, got[4].load_delay, got[4].bottleneck) == (100.0, "TTFB", None, None, 500.0, None)
+    facts = spark.createDataFrame([(1, "lazy", True, False, "", 900, 400, 600000, "png", 5001, 41, 201.0, 6), (2, "eager", True, True, "", 800, 400, 512000, "png", 1500, 40, 200.0, 5), (3, None, None, None, None, None, None, None, None, None, None, None, None)], "load_id long, loading string, in_viewport boolean, preloaded boolean, fetchpriority string, natural_w int, rendered_w int, bytes long, format string, nodes long, depth int, longest_frame double, long_tasks int")
+    found = ca.load_issues(facts).collect()
+    assert {r.issue for r in found} == {"lcp-lazy", "lcp-priority", "lcp-oversized", "lcp-format", "dom-very-large", "dom-deep", "loaf", "mainthread-busy"} and {r.load_id for r in found} == {1}
+
+
+def test_ratio_scores(spark):
+    findings = spark.createDataFrame(
+        [("a", "CONTENT_DUP_RATIO", "content", "high", "Site", 5, 100, None), ("a", "X", "content", "passed", "/x", 3, 50, None), ("a", "X", "content", "medium", "/x", 2, 100, None), ("a", "X", "trust", "passed", "/x", 3, 100, None), ("a", "POLICY_FINDING", "policy", "low", "Site", 3, 100, None), ("a", "TECH_HTTPS", "tech", "critical", "/", 3, 100, None)],
+        "site string, id string, category string, status string, page string, weight int, confidence int, affected string",
+    )
+    inventory = spark.createDataFrame([("a", 5, 80, 0, 0, "blog")], "site string, content_pages int, useful_pct int, thin_pct int, dup_pct int, site_type string")
+    scores = au.ratio_scores(findings, inventory)
+    # content 0.7 * 0.2 + 0.3 * 3 / (3 + 2 * 0.45) = 0.371; policy 0.85; tech 0.4; else 1.0 or 0.65
+    assert {r.category: (r.pct, r.score) for r in scores.collect()} == {"content": (37, 9), "trust": (100, 20), "policy": (85, 17), "ux": (65, 10), "tech": (40, 4), "perf": (65, 7)}
+    assert [tuple(r) for r in au.ratio_verdicts(scores, findings, inventory).select("total", "verdict").collect()] == [(55, "Needs Improvement")]
