@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagelode.functions import text as tx
 from pagelode.operators import vitals as vt
 from pagelode.plans import duck as d
 from pagelode.sources.tables import read_table
@@ -172,3 +173,18 @@ def stream_admission(spark: SparkSession, sf: str) -> DataFrame:
 def resource_budget(spark: SparkSession, sf: str) -> DataFrame:
     """T4, per user at most 20 events and 400 of value."""
     return st.within_budget(read_table(spark, sf, "events"), 20, 400.0).groupBy("user_id").agg(F.count("*").alias("events"), F.count_if("within").alias("within"))
+
+
+@query(ORACLES["resource_budget"])
+def stream_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """T4 by a stream that keeps each user's count and value."""
+    e = st.read_events(spark, sf).select("user_id", "event_id", "ts", "value")
+    return st.drain(st.budget_stream(e, 20, 400.0), "stream_budget", "append").groupBy("user_id").agg(F.count("*").alias("events"), F.count_if("within").alias("within"))
+
+
+@query(ORACLES["layout_shift"])
+def stream_layout_shift(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of layout_shift by a stream that keeps each load's open window."""
+    ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', ts)").cast("double")
+    e = st.read_events(spark, sf).select(F.expr(_LOAD).cast("long").alias("load_id"), (F.floor(ms / 1000) % 86400).cast("double").alias("start"), (F.col("event_id") % 40).cast("double").alias("duration"), (F.col("value") / 1000).alias("value"))
+    return st.drain(st.shift_stream(e), "stream_layout_shift", "update").groupBy("load_id").agg(tx.half_up(F.max("best"), 4).alias("cls"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelode.operators.lineage import shared_folder
+from pagelode.operators.vitals import GAP_MS, OPEN_MS
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +91,40 @@ def admission_stream(events: DataFrame, most: int, span: int) -> DataFrame:
 
 
 def within_budget(events: DataFrame, most: int, value: float) -> DataFrame:
-    """T4: events with `within`: whether the user's running count and value stay in the budget."""
+    """T4: events with `within`: whether the user's running count and value stay in the budget; a null
+    value costs nothing."""
     running = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("within", (F.count("*").over(running) <= most) & (F.sum("value").over(running) <= value))
+    return events.withColumn("within", (F.count("*").over(running) <= most) & (F.sum(F.coalesce("value", F.lit(0.0))).over(running) <= value))
+
+
+def budget_stream(events: DataFrame, most: int, value: float) -> DataFrame:
+    """T4 as a stream of events (user_id, event_id, ts, value): the same, with each user's count and value as
+    state. Events of one batch are taken in time order; those of a later batch come after."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        frame = pd.concat(frames).sort_values(["ts", "event_id"])
+        totals = np.cumsum([total, *frame["value"].fillna(0.0)])[1:]
+        state.update((n + len(frame), float(totals[-1])))
+        yield frame.assign(within=(n + np.arange(1, len(frame) + 1) <= most) & (totals <= value))[["user_id", "event_id", "within"]]
+
+    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, within boolean", "n long, total double", "append", GroupStateTimeout.NoTimeout)
+
+
+def shift_stream(shifts: DataFrame) -> DataFrame:
+    """T2, layout shifts (load_id, start, duration, value) as a stream: (load_id, best) of each load that a batch
+    touches, the largest sum of a window so far. The open window is the state; a gap over GAP_MS after
+    OPEN_MS ends it. Shifts of one batch are taken in time order; those of a later batch come after."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        begin, end, total, best = state.get if state.exists else (None, 0.0, 0.0, 0.0)
+        frame = pd.concat(frames).fillna({"duration": 0.0}).sort_values(["start", "duration", "value"])
+        for start, duration, value in zip(frame["start"], frame["duration"], frame["value"]):
+            if begin is None or start - end > GAP_MS and end - begin > OPEN_MS:
+                begin, end, total = start, start, 0.0
+            end, total = max(end, start + duration), total + value
+            best = max(best, total)
+        state.update((float(begin), float(end), float(total), float(best)))
+        yield pd.DataFrame({"load_id": [key[0]], "best": [best]})
+
+    return shifts.groupBy("load_id").applyInPandasWithState(run, "load_id long, best double", "begin double, end double, total double, best double", "update", GroupStateTimeout.NoTimeout)

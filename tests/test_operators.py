@@ -306,3 +306,24 @@ def test_ratio_scores(spark):
     # content 0.7 * 0.2 + 0.3 * 3 / (3 + 2 * 0.45) = 0.371; policy 0.85; tech 0.4; else 1.0 or 0.65
     assert {r.category: (r.pct, r.score) for r in scores.collect()} == {"content": (37, 9), "trust": (100, 20), "policy": (85, 17), "ux": (65, 10), "tech": (40, 4), "perf": (65, 7)}
     assert [tuple(r) for r in au.ratio_verdicts(scores, findings, inventory).select("total", "verdict").collect()] == [(55, "Needs Improvement")]
+
+
+def test_budget_and_shift_streams_keep_state_between_files(spark, tmp_path):
+    def run(rows, schema, query, mode, name):
+        got = []
+        for part in rows:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/in")
+            out = query(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}/state").foreachBatch(lambda b, _: got.extend(b.collect()))
+            out.trigger(availableNow=True).start().awaitTermination()
+        return got
+
+    rows = [[(1, 1, 2, 5.0), (1, 0, 1, None), (2, 9, 1, 11.0)], [(1, 2, 3, 5.0), (1, 3, 4, 0.5), (2, 10, 2, 0.0)]]
+    got = run(rows, "user_id long, event_id long, ts long, value double", lambda s: st.budget_stream(s, 4, 10.0), "append", "budget")
+    assert {r.event_id: r.within for r in got} == {0: True, 1: True, 2: True, 3: False, 9: False, 10: False}
+    rows = [[(1, 5500.0, 0.0, 0.1), (1, 0.0, None, 0.1), (2, 0.0, 0.0, 0.1)], [(1, 7000.0, 0.0, 0.3), (2, 2000.0, 0.0, 0.1)]]
+    got = run(rows, "load_id long, start double, duration double, value double", st.shift_stream, "update", "shift")
+    best = {}
+    for r in got:
+        best[r.load_id] = max(best.get(r.load_id, 0), round(r.best, 4))
+    assert best == {1: 0.3, 2: 0.2}
