@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import backoff_lm, bpe, chat_hmm, compact_windows, decontaminate, pivot_search, quality_trees, secret_ledger, simhash, token_counts
+from pagelode.llm import backoff_lm, bag_search, bpe, chat_hmm, compact_windows, decontaminate, pivot_search, quality_trees, secret_ledger, simhash, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -153,3 +153,24 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_chat_format"] = op4_chat_format
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return bag_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op13_lexical_search"] = op13_lexical_search
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{bag_search.GAPS}]+')"
+ORACLES["op13_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+s AS (SELECT count(*) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+q AS (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS t FROM benchmark),
+v AS (SELECT DISTINCT t FROM q),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) JOIN v USING (t) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(s.n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p CROSS JOIN s GROUP BY t),
+x AS (SELECT i, item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(ts) * s.n) // s.l)))) AS BIGINT) AS score
+      FROM q JOIN p USING (t) JOIN w USING (t) JOIN d USING (r) CROSS JOIN s GROUP BY i, item_id, r),
+k AS (SELECT i, item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM x JOIN d USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
