@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import backoff_lm, bag_search, bpe, chat_hmm, compact_windows, decontaminate, pivot_search, quality_trees, secret_ledger, simhash, token_counts
+from pagelode.llm import backoff_lm, bag_search, bpe, chat_hmm, compact_windows, decontaminate, packing, pivot_search, quality_trees, secret_ledger, simhash, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -174,3 +174,13 @@ x AS (SELECT i, item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 *
 k AS (SELECT i, item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM x JOIN d USING (r) WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
 """
+
+
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of 4096."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES["op11_best_fit_packing"] = op11_best_fit_packing
