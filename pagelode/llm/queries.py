@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import backoff_lm, bag_search, bpe, chat_hmm, compact_windows, decontaminate, packing, pivot_search, quality_trees, secret_ledger, simhash, token_counts
+from pagelode.llm import backoff_lm, bag_search, bpe, chat_hmm, compact_windows, decontaminate, packing, pivot_search, quality_trees, secret_ledger, simhash, spelling, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -184,3 +184,40 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_best_fit_packing"] = op11_best_fit_packing
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of six letters that occurs five times."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32 by its polynomial, for the SQL twin."""
+    rows = list(range(256))
+    for _ in range(8):
+        rows = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in rows]
+    return rows
+
+
+QUERIES["op12_spelling_variants"] = op12_spelling_variants
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE t AS (SELECT {_crc_table()} AS t),
+d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+r AS (SELECT doc_id, unnest(regexp_extract_all(x, '[{spelling.SIGNS}]+')) AS w FROM d),
+c AS (SELECT doc_id, w, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS b FROM r WHERE length(w) >= 6 GROUP BY doc_id, w),
+h AS (
+  SELECT w, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(('0x' || b[2 * i - 1:2 * i]) AS BIGINT) for i in range(1, length(b) // 2 + 1)]),
+         lambda a, y: xor(a >> 8, t.t[(xor(a, y) & 255) + 1]))) AS h FROM c CROSS JOIN t),
+o AS (SELECT CASE WHEN h % 199 = 0 THEN w[1:CAST(h % length(w) AS INTEGER)] || w[CAST(h % length(w) AS INTEGER) + 2:] ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+i AS (SELECT word, n, unnest(range(0, length(word))) AS k FROM v),
+x AS (SELECT word, n, k, word[1:CAST(k AS INTEGER)] || word[CAST(k AS INTEGER) + 2:] AS cut FROM i),
+e AS (
+  SELECT a.word, b.word AS near FROM x AS a JOIN x AS b ON a.k = b.k AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM x AS a JOIN v AS b ON a.cut = b.word
+  UNION SELECT b.word, a.word FROM x AS a JOIN v AS b ON a.cut = b.word),
+m AS (SELECT e.word, near, v.n AS m, row_number() OVER (PARTITION BY e.word ORDER BY v.n DESC, near) AS k, count(*) OVER (PARTITION BY e.word) AS n_near FROM e JOIN v ON e.near = v.word),
+f AS (SELECT v.word, v.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN m.m >= 5 * v.n THEN near END AS form, CASE WHEN m.m >= 5 * v.n THEN m.m END AS form_n FROM v LEFT JOIN m ON v.word = m.word AND m.k = 1),
+p(word, stop, next) AS (SELECT word, word, form FROM f UNION ALL SELECT p.word, f.word, f.form FROM p JOIN f ON p.next = f.word)
+SELECT f.word, f.form, p.stop AS root, f.n, f.n_near, f.form_n FROM f JOIN p ON f.word = p.word AND p.next IS NULL
+"""
