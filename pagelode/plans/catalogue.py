@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagelode.plans import audit_queries, document_queries, domain_queries, output_queries, profile_queries, rule_queries, seo_queries, site_queries, vitals_queries
+from pagelode.plans import audit_queries, document_queries, domain_queries, output_queries, profile_queries, rule_queries, seo_queries, similar_queries, site_queries, vitals_queries
 
-_MODULES = (site_queries, document_queries, rule_queries, vitals_queries, output_queries, domain_queries, profile_queries, audit_queries, seo_queries)
+_MODULES = (site_queries, document_queries, rule_queries, vitals_queries, output_queries, domain_queries, profile_queries, audit_queries, seo_queries, similar_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
