@@ -1,4 +1,4 @@
-"""Link health and hosts."""
+"""Link health and hosts."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import text as tx
 
-#: Suffixes under which names are registered, as far as the corpus has them.
-SUFFIXES = ("com", "net", "org", "co.uk", "example.com", "example.net")
 RESULT = """CASE WHEN error LIKE '%DNS%' THEN 'dns_error' WHEN error LIKE '%TLS%' THEN 'tls_error' WHEN error LIKE '%timeout%' THEN 'timeout' WHEN status = 404 OR status = 410 THEN 'broken'
  WHEN status IN (401, 403, 429) THEN 'restricted' WHEN status >= 500 THEN 'server_error' WHEN status BETWEEN 300 AND 399 THEN 'redirect' WHEN status BETWEEN 200 AND 299 THEN 'working' ELSE 'unknown' END"""
 SEVERITY = """CASE WHEN result = 'broken' AND is_internal THEN 'critical' WHEN result IN ('broken', 'dns_error', 'server_error') THEN 'high' WHEN result IN ('tls_error', 'timeout') THEN 'medium' WHEN result IN ('redirect', 'restricted') THEN 'low' ELSE 'none' END"""
@@ -42,16 +40,6 @@ def redirects(hops: DataFrame) -> DataFrame:
     return out.select("chain", "hops", kind.alias("kind"), (F.col("distinct") < F.col("hops")).alias("loop"), "to_https", (host("first") != host("last")).alias("cross_host"))
 
 
-def registrable(hosts: DataFrame, suffixes: list[str], host: str = "host") -> DataFrame:
-    """hosts with (suffix, domain): the longest listed suffix and the label before it."""
-    labels = F.split(F.col(host), r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 10), "."))
-    hit = F.filter(tails, lambda t: t.isin(*suffixes))
-    suffix = F.get(hit, F.lit(0))
-    own = F.size(labels) - F.size(F.split(suffix, r"\."))
-    return hosts.withColumn("suffix", suffix).withColumn("domain", F.when(own >= 1, F.concat(F.element_at(labels, own), F.lit("."), suffix)))
-
-
 def ip_number(ip: Column) -> Column:
     p = F.split(ip, r"\.")
     return sum((p[k].cast("long") * 256 ** (3 - k) for k in range(1, 4)), p[0].cast("long") * 256**3)

@@ -1,4 +1,4 @@
-"""Page-load timing."""
+"""Page-load timing."""
 
 from __future__ import annotations
 
@@ -40,6 +40,18 @@ def overlaps(tasks: DataFrame, interactions: DataFrame) -> DataFrame:
     return t.join(i, "load_id").where("t1 >= i0 and t0 <= i1").select("load_id", "task", "interaction")
 
 
+def congestion(tasks: DataFrame, interactions: DataFrame, within: float = 2000.0, least: int = 2) -> DataFrame:
+    """(load_id, interaction, tasks, total): the slowest answered interaction of each load (ties: the first)
+    with the long tasks that start from `within` ms before it to `within` after its end, if they are
+    `least`. Tasks meet it by time buckets of twice that width, not all tasks of the load."""
+    worst = interactions.where("responded").groupBy("load_id").agg(F.min_by(F.struct("id", "start", "latency"), F.struct(-F.col("latency"), "start", "id")).alias("w"))
+    span = worst.select("load_id", F.col("w.id").alias("interaction"), (F.col("w.start") - within).alias("low"), (F.col("w.start") + F.col("w.latency") + within).alias("high"))
+    bucket = lambda t: F.floor(t / (2 * within))
+    spread = span.withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
+    met = tasks.withColumn("bucket", bucket(F.col("start"))).join(spread, ["load_id", "bucket"]).where("start between low and high")
+    return met.groupBy("load_id", "interaction").agg(F.count("*").alias("tasks"), F.sum("duration").alias("total")).where(F.col("tasks") >= least)
+
+
 def blocking(tasks: DataFrame) -> DataFrame:
     """(load_id, source, tasks, total, longest, blocking): long tasks by source; blocking is what
     passes 50 ms of each."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelode.functions import urls
 from pagelode.operators import classify as cl
 from pagelode.operators import health as he
+from pagelode.operators import hosts as ho
 from pagelode.operators import outputs as out
 from pagelode.plans import duck as d
 from pagelode.plans import rule_queries as rq
@@ -175,11 +176,15 @@ def redirect_chains(spark: SparkSession, sf: str) -> DataFrame:
     return he.redirects(rows)
 
 
-@query(f"""WITH {d.PAGE}, s AS (SELECT * FROM (VALUES {', '.join(f"('{x}')" for x in he.SUFFIXES)}) AS t(suffix)), m AS (SELECT page_id, host, arg_max(suffix, length(suffix)) AS suffix FROM h JOIN s ON host = suffix OR ends_with(host, '.' || suffix) GROUP BY page_id, host)
+#: The suffixes of this query alone; the hosts given have no others.
+_SUFFIXES = "com net org co.uk example.com example.net"
+
+
+@query(f"""WITH {d.PAGE}, s AS (SELECT unnest(string_split('{_SUFFIXES}', ' ')) AS suffix), m AS (SELECT page_id, host, arg_max(suffix, length(suffix)) AS suffix FROM h JOIN s ON host = suffix OR ends_with(host, '.' || suffix) GROUP BY page_id, host)
 SELECT page_id, suffix, nullif(regexp_extract(host, '([^.]+)\\.' || replace(suffix, '.', '\\.') || '$', 1), '') || '.' || suffix AS domain FROM m""")
 def registrable_domains(spark: SparkSession, sf: str) -> DataFrame:
-    hosts = read_table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
-    return he.registrable(hosts, list(he.SUFFIXES)).select("page_id", "suffix", "domain")
+    pages = read_table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    return pages.join(ho.registrable(pages, ho.suffix_rules(spark, _SUFFIXES, "")), "host").select("page_id", "suffix", "domain")
 
 
 _IPS = "CAST(10 + user_id % 3 AS VARCHAR) || '.' || (event_id % 256) || '.' || (user_id % 256) || '.' || (event_id % 250)"
