@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,16 +21,24 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
 
 
+def keep_batches(folder: str, mode: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps each batch under its number, the last alone in complete mode: a batch that is run
+    again after a lost driver replaces what it wrote before."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={0 if mode == 'complete' else number}")
+
+    return put
+
+
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """The rows of a stream once all that is there is read, kept as a table in the shared folder."""
     spark, folder = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
-
+    put = keep_batches(f"{folder}/rows", mode)
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/rows")
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
 def vitals_by_window(events: DataFrame, width: str) -> DataFrame:
