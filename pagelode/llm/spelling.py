@@ -1,9 +1,11 @@
 """Spelling variants: words of a corpus that differ by one edit, found over a distributed trie.
 
 Every prefix of a word is a node, and the edge table has a row for each with its parent, its sign and
-the signs that follow it. States (word, position, node, edits) start at the root and join the edges
-level by level: they match the next sign, or, once, take another sign, one more or one less. States
-with an edit whose next sign no edge bears aren't made. Those that end on a word are its neighbours.
+the signs that follow it. States (word, position, node, edits) join the edges level by level: they
+match the next sign, or, once, take another sign, one more or one less. States with an edit whose next
+sign no edge bears aren't made. Those that end on a word are its neighbours. Words go through the trie
+forwards for edits in their second half, and backwards for those in the first, so that a state starts
+at the node of half a word, where few edges are left, and no level is crowded.
 """
 
 from __future__ import annotations
@@ -29,8 +31,6 @@ SIGNS = "A-Za-zÀ-ÿ"
 LOSES, LEAST_SIGNS, LEAST_USES, TIMES = 199, 6, 5, 5
 #: Code points up to which words go through the trie, a level each; longer ones meet by equal halves.
 MOST_LEVELS = 64
-#: Levels whose edge table has a proven bound: at most 90 signs follow a node, so 90 and 8,100 rows.
-SMALL_LEVELS = 2
 #: Distinct words that a task counts before it passes them on.
 KEPT_WORDS = 500_000
 
@@ -71,54 +71,60 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", loses:
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= uses)
 
 
-def edges(words: DataFrame) -> DataFrame:
-    """(depth, parent, sign, child, after, ends): a row for each distinct prefix, with the signs that follow
-    it, at most 90, and whether it is a word."""
+def directed(words: DataFrame) -> DataFrame:
+    """(word, half): each word forwards behind a `>` and backwards behind a `<`, and the place from which
+    edits count."""
+    half = lambda n: F.expr(f"least(1 + {n} div 2, greatest(1, length(word) - 1))").alias("half")
+    ways = F.array(F.struct(F.concat(F.lit(">"), "word").alias("word"), half("length(word)")), F.struct(F.concat(F.lit("<"), F.reverse("word")).alias("word"), half("(length(word) + 1)")))
+    return words.where(F.length("word") > 0).select(F.explode(ways).alias("x")).select("x.word", F.col("x.half").cast("int").alias("half"))
+
+
+def edges(words: DataFrame, first: int) -> DataFrame:
+    """(depth, parent, sign, child, after, ends): a row for each distinct prefix of `first` signs or more, with
+    the signs that follow it, at most 90, and whether it is a word."""
     size = F.length("word")
-    cut = words.select("word", size.alias("size"), F.explode(F.sequence(F.lit(1), size)).alias("depth"))
-    child, sign = F.expr("left(word, depth)"), F.expr("substring(word, depth, 1)")
-    rows = cut.select("depth", F.expr("left(word, depth - 1)").alias("parent"), sign.alias("sign"), child.alias("child"), F.expr("substring(word, depth + 1, 1)").alias("next"), (F.col("depth") == F.col("size")).alias("ends"))
-    return rows.groupBy("depth", "parent", "sign", "child").agg(F.array_join(F.collect_set("next"), "").alias("after"), F.max("ends").alias("ends"))
+    cut = words.select("word", size.alias("size"), F.explode(F.sequence(F.lit(first), size)).alias("depth"))
+    rows = cut.select("depth", F.expr("left(word, depth)").alias("child"), F.expr("substring(word, depth + 1, 1)").alias("next"), (F.col("depth") == F.col("size")).alias("ends"))
+    merged = rows.groupBy("depth", "child").agg(F.array_join(F.collect_set("next"), "").alias("after"), F.max("ends").alias("ends"))
+    return merged.select("depth", F.expr("left(child, depth - 1)").alias("parent"), F.expr("right(child, 1)").alias("sign"), "child", "after", "ends")
 
 
 def trie_neighbours(words: DataFrame) -> DataFrame:
     """(word, near) among words of MOST_LEVELS code points at most: each level's states are written, and the
     ends are read from all of them."""
-    spark, words = words.sparkSession, words.select("word")
+    spark, words = words.sparkSession, stored(directed(words.select("word")))
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    deepest = words.agg(F.max(F.length("word"))).first()[0]
+    first, deepest = words.agg(F.min("half"), F.max(F.length("word"))).first()
     if deepest is None:
         return words.select("word", F.col("word").alias("near")).limit(0)
-    edges(words).write.partitionBy("depth").parquet(f"{folder}/edges")
+    edges(words, first + 1).write.partitionBy("depth").parquet(f"{folder}/edges")
     table = spark.read.parquet(f"{folder}/edges")
-    state = T.StructType([T.StructField("word", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("node", T.StringType()), T.StructField("edits", T.IntegerType()), T.StructField("ends", T.BooleanType())])
-    now = words.select("word", F.lit(0).alias("at"), F.lit("").alias("node"), F.lit(0).alias("edits"), F.lit(False).alias("ends"))
+    start = words.select("word", F.col("half").alias("at"), F.expr("left(word, half)").alias("node"), F.lit(0).alias("edits"), F.lit(False).alias("ends"))
+    state = start.schema
     sign = lambda k: F.expr(f"substring(word, at + {k + 1}, 1)")
-    for depth in range(1, deepest + 2):
+    before = None
+    for depth in range(first + 1, deepest + 2):
         level = table.where(F.col("depth") == depth).drop("depth")
-        if depth <= SMALL_LEVELS:
-            level = F.broadcast(level)
+        now = start.where(F.col("at") == depth - 1)
+        if before is not None:
+            now = now.union(before)
         # without an edit a state goes over all edges of its node, with one over that of its next sign alone
-        met = now.where("edits = 0").join(level.withColumnRenamed("ends", "stops"), F.col("node") == F.col("parent"))
-        own = F.col("sign") == sign(0)
+        met = now.where("edits = 0").drop("ends").join(level, F.col("node") == F.col("parent"))
+        own, over = F.col("sign") == sign(0), F.col("at") == F.length("word")
+        goes_on = lambda n: F.when(F.col("at") + n == F.length("word"), F.col("ends")).otherwise(F.instr("after", sign(n)) > 0)
         step = lambda go, n, edits: F.when(go, F.struct((F.col("at") + n).alias("at"), F.lit(edits).alias("edits")))
-        steps = F.array(
-            step(own, 1, 0),
-            step(~own & (F.col("at") < F.length("word")), 1, 1),
-            step(~own, 0, 1),
-            step((F.col("sign") == sign(1)) & (sign(0) != sign(1)), 2, 1),
-        )
-        moved = met.select("word", F.explode(F.array_compact(steps)).alias("s"), F.col("child").alias("node"), "after", F.col("stops").alias("ends")).select("word", "s.at", "node", "s.edits", "ends", "after")
+        same = F.array(step(F.lit(True), 1, 0))
+        other = F.array(step(~over & goes_on(1), 1, 1), step(goes_on(0), 0, 1), step((F.col("sign") == sign(1)) & goes_on(2), 2, 1))
+        moved = met.select("word", F.explode(F.array_compact(F.when(own, same).otherwise(other))).alias("s"), F.col("child").alias("node"), "ends").select("word", "s.at", "node", "s.edits", "ends")
         on = now.where("edits = 1").select("word", (F.col("at") + 1).alias("at"), F.concat("node", sign(0)).alias("child"), F.lit(1).alias("edits"))
-        went = on.join(level.select("child", "ends", "after"), "child").select("word", "at", F.col("child").alias("node"), "edits", "ends", "after")
-        over = F.col("at") == F.length("word")
-        alive = (F.col("edits") == 0) | F.when(over, F.col("ends")).otherwise(F.instr("after", sign(0)) > 0)
-        moved.unionByName(went).where(alive).drop("after").write.parquet(f"{folder}/states/level={depth}")
-        now = spark.read.schema(state).parquet(f"{folder}/states/level={depth}")
+        went = on.join(level.select("child", "ends", "after"), "child").where(goes_on(0)).select("word", "at", F.col("child").alias("node"), "edits", "ends")
+        moved.unionByName(went).write.parquet(f"{folder}/states/level={depth}")
+        before = spark.read.schema(state).parquet(f"{folder}/states/level={depth}")
     states = spark.read.schema(state).parquet(f"{folder}/states")
     left = F.length("word") - F.col("at")
     ended = (F.col("edits") == 1) & (left == 0) | (F.col("edits") == 0) & (left == 1)  # the last sign left off
-    return states.where(ended & F.col("ends")).select("word", F.col("node").alias("near")).where("word <> near").distinct()
+    plain = lambda c: F.when(F.startswith(c, F.lit(">")), F.substring(c, 2, MOST_LEVELS + 1)).otherwise(F.reverse(F.substring(c, 2, MOST_LEVELS + 1)))
+    return states.where(ended & F.col("ends")).select(plain("word").alias("word"), plain("node").alias("near")).where("word <> near").distinct()
 
 
 def long_neighbours(words: DataFrame) -> DataFrame:

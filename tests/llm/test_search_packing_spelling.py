@@ -209,6 +209,17 @@ def test_variants_equal_a_plain_version(spark, monkeypatch, levels):
     assert got.count() == len(plain_variants(docs))
 
 
+@pytest.mark.parametrize("levels", [64, 4])
+def test_neighbours_of_short_words(spark, monkeypatch, levels):
+    monkeypatch.setattr(spelling, "MOST_LEVELS", levels)
+    rng = random.Random(6)
+    words = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 6))) for _ in range(160)} | {"aaaaaa", "aaaaa", "a"}
+    cuts = {w: {w[:i] + w[i + 1 :] for i in range(len(w))} for w in words}
+    near = lambda a, b: a in cuts[b] or b in cuts[a] or len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+    got = spelling.neighbours(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert {tuple(r) for r in got.collect()} == {(a, b) for a in words for b in words if near(a, b)}
+
+
 def test_chains_of_forms_and_empty_tables(spark):
     forms = spark.createDataFrame([(f"w{k}", f"w{k + 1}") for k in range(9)] + [("a", "b")], "word string, form string")
     assert {r.word: r.root for r in spelling.roots(forms).collect()} == {f"w{k}": "w9" for k in range(9)} | {"a": "b"}
