@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelode.functions import text as tx
 from pagelode.functions import urls
-from pagelode.operators.lineage import checkpoint
+from pagelode.operators.lineage import shared_folder, stored
 
 _ANCHOR = r"""(?is)<a\s[^>]*?href=["']([^"']*)["'][^>]*>(.*?)</a>"""
 
@@ -49,16 +51,19 @@ def degrees(edges: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def click_depth(edges: DataFrame, homes: DataFrame) -> DataFrame:
-    """(page_id, depth): clicks from the home pages, breadth first; pages that none reaches are absent."""
-    once = checkpoint(edges.select("src", "dst").distinct())
-    frontier = reached = checkpoint(homes.select("page_id", F.lit(0).alias("depth")))
-    for depth in itertools.count(1):
-        step = frontier.join(once, F.col("page_id") == F.col("src")).select(F.col("dst").alias("page_id")).distinct()
-        frontier = checkpoint(step.join(reached, "page_id", "left_anti").select("page_id", F.lit(depth).alias("depth")))
-        if frontier.isEmpty():
-            break
-        reached = checkpoint(reached.union(frontier))
-    return reached
+    """(page_id, depth): clicks from the home pages, breadth first; pages that none reaches are absent. Each
+    level is written once, beside those before it."""
+    spark, folder = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/{uuid.uuid4().hex}"
+    once = stored(edges.select("src", "dst").distinct())
+    frontier = homes.select("page_id")
+    for depth in itertools.count():
+        frontier.select("page_id", F.lit(depth).alias("depth")).write.parquet(f"{folder}/level={depth}")
+        read = spark.read.schema(T.StructType([T.StructField("page_id", edges.schema["dst"].dataType), T.StructField("depth", T.IntegerType())]))
+        level, reached = read.parquet(f"{folder}/level={depth}"), read.parquet(folder)
+        if level.isEmpty():
+            return reached.select("page_id", "depth")
+        step = level.join(once, F.col("page_id") == F.col("src")).select(F.col("dst").alias("page_id")).distinct()
+        frontier = step.join(reached.select("page_id"), "page_id", "left_anti")
 
 
 def position_issues(degree: DataFrame, depth: DataFrame, deep: int = 4) -> DataFrame:

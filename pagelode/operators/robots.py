@@ -37,18 +37,27 @@ def pattern(path: Column) -> Column:
 
 def verdicts(rules: DataFrame, paths: DataFrame, bots: DataFrame) -> DataFrame:
     """(site, path, token, verdict, rule): longest matching pattern of a bot's own groups, else of *;
-    allow wins ties; no group leaves it uncertain."""
+    allow wins ties; no group leaves it uncertain.
+
+    Paths meet the rules once by agent, not once by bot: bots without groups of their own share what *
+    says. Rules without signs of a pattern are prefixes and need no regex."""
+    named = bots.select("token", F.lower("token").alias("agent"))
     agents = rules.select("site", "agent").distinct()
-    own = agents.join(F.broadcast(bots.select("token")), F.lower("token") == F.col("agent")).select("site", "token", "agent")
-    star = agents.where("agent = '*'").select("site", F.lit("*").alias("any"))
-    asked = paths.select("site", "path").distinct().crossJoin(F.broadcast(bots.select("token")))
-    picked = asked.join(own, ["site", "token"], "left").join(star, "site", "left").withColumn("agent", F.coalesce("agent", "any")).drop("any")
-    full = rules.where("path <> ''").select("site", "agent", "type", F.col("path").alias("rule"), pattern(F.col("path")).alias("regex"))
-    matched = picked.join(full, ["site", "agent"], "left").where("regex is null or path rlike regex")
-    order = Window.partitionBy("site", "path", "token").orderBy(F.desc_nulls_last(F.length("rule")), "type", "rule")
-    best = picked.join(matched.select("site", "path", "token", "type", "rule"), ["site", "path", "token"], "left").withColumn("at", F.row_number().over(order)).where("at = 1")
-    verdict = F.when(F.col("agent").isNull(), "uncertain").when(F.col("type") == "disallow", "blocked").otherwise("allowed")
-    return best.select("site", "path", "token", verdict.alias("verdict"), F.coalesce("rule", F.lit("")).alias("rule"))
+    heard = agents.join(named.select("agent").union(bots.sparkSession.createDataFrame([("*",)], "agent string")).distinct(), "agent")
+    own = paths.select("site", "path").distinct()
+    full = rules.join(heard, ["site", "agent"], "left_semi").where("path <> ''").select("site", "agent", "type", F.col("path").alias("rule"), pattern(F.col("path")).alias("regex"))
+    plain = ~F.col("rule").rlike(r"[*$]")
+    matched = own.join(full, "site").where(F.when(plain, F.startswith("path", F.col("rule"))).otherwise(F.rlike("path", F.col("regex"))))
+    # the least struct is the longest rule, allow before disallow
+    best = matched.groupBy("site", "path", "agent").agg(F.min(F.struct((-F.length("rule")).alias("n"), "type", "rule")).alias("b"))
+    # of each site its groups' agents in one row, so that every bot finds its own there
+    held = own.join(heard.groupBy("site").agg(F.collect_set("agent").alias("agents")), "site", "left")
+    tokens = [(r.token, r.agent) for r in named.collect()]  # the fixed table of crawlers
+    choice = lambda agent: F.when(F.array_contains("agents", agent), agent).when(F.array_contains("agents", "*"), "*")
+    asked = held.select("site", "path", F.explode(F.array(*[F.struct(F.lit(token).alias("token"), choice(agent).alias("agent")) for token, agent in tokens])).alias("x")).select("site", "path", "x.token", "x.agent")
+    told = asked.join(best, ["site", "path", "agent"], "left")
+    verdict = F.when(F.col("agent").isNull(), "uncertain").when(F.col("b.type") == "disallow", "blocked").otherwise("allowed")
+    return told.select("site", "path", "token", verdict.alias("verdict"), F.coalesce("b.rule", F.lit("")).alias("rule"))
 
 
 def match_agents(log: DataFrame, tokens: list[str], ua: str = "ua") -> DataFrame:
