@@ -8,6 +8,7 @@ beside a merge are updated. Texts are whole, and a word's ids are kept for the w
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 
 from pagelode.llm.arrow_batches import by_size
 
-#: Words whose ids a worker keeps; beyond it the store is emptied and filled anew.
-KEPT_WORDS = 200_000
+#: Words whose ids a worker keeps, half of them since it last let go of those that weren't met again.
+KEPT_WORDS = 300_000
 #: Rows whose decoded texts stand in memory at once.
 DECODED_ROWS = 500
 #: Bytes of text that are encoded at once.
@@ -32,6 +33,19 @@ _NONE = np.zeros(0, np.int32)
 
 
 _COMMON = regex.compile(r"[\x00-\u036f\u2000-\u206f\u20a0-\u20ac]*+\Z").match
+_CHARS = [chr(c) for r in ((0, 0x370), (0x2000, 0x2070), (0x20A0, 0x20AD)) for c in range(*r)]
+
+
+def common_pattern(pattern: str) -> re.Pattern[str]:
+    """The pattern with its Unicode classes written out for the characters that _COMMON takes and those
+    that lower-casing makes of them, as the standard library's engine is twice as fast."""
+    chars = sorted({c for x in _CHARS for c in x + x.lower()})
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        held = [ord(c) for c in chars if regex.match(name, c)]
+        starts = [c for c in held if c - 1 not in held]
+        ends = [c for c in held if c + 1 not in held]
+        pattern = pattern.replace(name, "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)))
+    return re.compile(pattern)
 
 
 def _plain(text: str) -> bool:
@@ -65,7 +79,7 @@ class WordBpe:
         (split, _), steps = spec["pre_tokenizer"]["pretokenizers"], spec["normalizer"]["normalizers"]
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or not split["invert"] or model["end_of_word_suffix"] != "</w>":
             raise ValueError("not a lower-casing word-end vocabulary")
-        self.pieces = regex.compile(split["pattern"]["Regex"])
+        self.pieces = common_pattern(split["pattern"]["Regex"])
         self.raw, self.library = raw, None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
@@ -75,6 +89,7 @@ class WordBpe:
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = np.array([names.get(i) for i in range(max(names) + 1)], dtype=object)
         self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text; special strings stand as they are."""
@@ -171,9 +186,11 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The store of ids, with all of these words in it."""
-        if len(self.ids) + len(words) > KEPT_WORDS:
-            self.ids = {}
-        if new := [w for w in words if w not in self.ids]:
+        if len(self.ids) + len(words) > KEPT_WORDS // 2:
+            self.ids, self.old = {}, self.ids
+        missing = [w for w in words if w not in self.ids]
+        self.ids |= {w: self.old[w] for w in missing if w in self.old}
+        if new := [w for w in missing if w not in self.old]:
             plain = [w for w in new if w not in self.special]
             self.ids |= zip(plain, self.encode_words(plain)) if plain else {}
             self.ids |= {w: self.special[w].to_bytes(4, "little") for w in new if w in self.special}

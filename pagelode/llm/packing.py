@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelode.llm.arrow_batches import by_size
-from pagelode.llm.bpe import TEXT_BYTES, load, tokenizer_file
+from pagelode.llm.bpe import TEXT_BYTES, WordBpe, load, tokenizer_file
 from pagelode.llm.components import stored
 
 #: Rows of a bucket in which pieces of a length are numbered, while there are MOST_BUCKETS at most.
@@ -45,25 +45,28 @@ def pieces(docs: DataFrame, path: str, size: int, end: int, key: str, text: str,
     out = T.StructType([*fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids])
     last = end.to_bytes(4, "little")
 
+    def cut(bpe: WordBpe, batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
+        words = [bpe.split(t) if t else [] for t in batch.column(text).to_pylist()]
+        of = bpe.learn({w for ws in words for w in ws}).__getitem__
+        found = []
+        for k, ws in enumerate(words):
+            packed = b"".join(map(of, ws)) + last
+            for at in range(0, len(packed), 4 * size):
+                own = packed[at : at + 4 * size]
+                found.append((k, at // (4 * size), at // 4, len(own) // 4, zlib.crc32(own), own if ids else b""))
+        place, piece, start, length, crc, parts = zip(*found) if found else [()] * 6
+        columns = [pa.array(np.arange(number, number + len(place))), batch.column(key).take(pa.array(place, pa.int64())), pa.array(piece, pa.int32())]
+        columns += [pa.array(c, pa.int64()) for c in (start, length, crc)]
+        if ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length], dtype=np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+        return pa.RecordBatch.from_arrays(columns, out.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, number = load(held.value), TaskContext.get().partitionId() << 33
         for batch in by_size(batches, text, TEXT_BYTES):
-            words = [bpe.split(t) if t else [] for t in batch.column(text).to_pylist()]
-            of = bpe.learn({w for ws in words for w in ws}).__getitem__
-            place, piece, start, length, crc, cut = [], [], [], [], [], []
-            for k, ws in enumerate(words):
-                packed = b"".join(map(of, ws)) + last
-                for at in range(0, len(packed), 4 * size):
-                    own = packed[at : at + 4 * size]
-                    place.append(k), piece.append(at // (4 * size)), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
-                    if ids:
-                        cut.append(own)
-            columns = [pa.array(np.arange(number, number + len(place))), batch.column(key).take(pa.array(place, pa.int64())), pa.array(piece, pa.int32())]
-            columns += [pa.array(c, pa.int64()) for c in (start, length, crc)]
-            if ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length], dtype=np.int32)), pa.array(np.frombuffer(b"".join(cut), "<i4"))))
-            number += len(place)
-            yield pa.RecordBatch.from_arrays(columns, out.names)
+            rows = cut(bpe, batch, number)
+            number += rows.num_rows
+            yield rows
 
     return stored(docs.select(key, text).mapInArrow(run, out))
 
