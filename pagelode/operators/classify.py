@@ -45,6 +45,11 @@ IMPORTANCE = """least(99, greatest(0, (CASE depth WHEN 0 THEN 25 WHEN 1 THEN 18
  + (CASE WHEN h1 <> '' THEN 5 ELSE 0 END) + (CASE WHEN params = 0 THEN 5 WHEN params = 1 THEN 3 ELSE 0 END)
  + (CASE WHEN title <> '' THEN 2 ELSE 0 END) + (CASE WHEN h1 <> '' THEN 2 ELSE 0 END)
  + (CASE page_type WHEN 'home' THEN 40 WHEN 'guide' THEN 24 WHEN 'article' THEN 12 WHEN 'about' THEN 16 ELSE 4 END)))"""
+#: What a category adds to a page's importance, or takes from it.
+CATEGORY_POINTS = (
+    ("Home", 40), ("Documentation", 30), ("Knowledge Base", 26), ("Guides", 24), ("Tutorials", 22), ("Services", 22), ("Products", 20), ("Tools", 18), ("FAQ", 16), ("About", 16), ("Contact", 12), ("Resources", 12), ("Blog", 12), ("Other", 4),
+    ("Categories", -20), ("Authors", -20), ("Tags", -40), ("Utility", -45),
+)
 BAND = "CASE WHEN importance >= 80 THEN 'High' WHEN importance >= 55 THEN 'Medium' ELSE 'Low' END"
 
 
@@ -55,6 +60,33 @@ def suitability(segments: Column, params: Column, tracking: Column) -> Column:
     return F.when(hit.isNotNull(), hit).when(tracking, "Tracking").when(params >= 2, "Parameters")
 
 
+def importance(pages: DataFrame) -> DataFrame:
+    """pages with (importance, band) by all terms: depth, inlinks, navigation or footer, sitemap, title, words,
+    headings, canonical, address, breadcrumbs, five kinds of metadata, category. A home page has 100,
+    others 99 at most. pages (category, depth, inlinks, nav_linked, footer_linked, in_sitemap, title,
+    word_count, h1, h2_count, canonical, canonicalised, params, crumbs, description, og)."""
+    c = F.col
+    filled = lambda x: F.coalesce(F.trim(x) != "", F.lit(False))
+    yes = lambda x, n: F.when(F.coalesce(x, F.lit(False)), n).otherwise(0)
+
+    def steps(value: Column, rows: tuple[tuple[float, int], ...], rest: int) -> Column:
+        return F.coalesce(*[F.when(value >= least, n) for least, n in rows], F.lit(rest))
+
+    size = F.length(F.trim(F.coalesce("title", F.lit(""))))
+    title = F.when(size == 0, 0).when(size.between(10, 70), 10).when(size.between(5, 140), 5).otherwise(2)
+    depth = F.coalesce("depth", F.lit(0))
+    near = F.when(depth == 0, 25).when(depth == 1, 18).when(depth == 2, 10).when(depth == 3, 6).otherwise(3)
+    known = sum((filled(c(x)).cast("int") for x in ("title", "description", "og", "canonical", "h1")), F.lit(0))
+    category = F.coalesce(*[F.when(c("category") == name, points) for name, points in CATEGORY_POINTS], F.lit(0))
+    total = (
+        near + steps(F.coalesce("inlinks", F.lit(0)), ((20, 18), (10, 14), (5, 10), (2, 6)), 2) + F.when(F.coalesce("nav_linked", F.lit(False)), 20).when(F.coalesce("footer_linked", F.lit(False)), 8).otherwise(0) + yes(c("in_sitemap"), 10) + title
+        + steps(F.coalesce("word_count", F.lit(0)), ((800, 14), (400, 11), (200, 8), (80, 5)), 1) + yes(filled(c("h1")), 5) + yes(c("h2_count") >= 2, 5) + yes(filled(c("canonical")) & ~F.coalesce("canonicalised", F.lit(False)), 4)
+        + F.when(c("params") == 0, 5).when(c("params") == 1, 3).otherwise(0) + yes(c("crumbs") >= 2, 4) + known * 2 + category
+    )
+    value = F.when(c("category") == "Home", 100).otherwise(F.least(F.lit(99), F.greatest(F.lit(0), total))).cast("int")
+    return pages.withColumn("importance", value).withColumn("band", F.expr(BAND))
+
+
 def findings(facts: DataFrame) -> DataFrame:
     """(site, page_id, check, grp, severity, weight): failed checks, in long form."""
     rows = F.array(*[F.struct(F.lit(c).alias("check"), F.lit(g).alias("grp"), F.lit(s).alias("severity"), F.lit(w).alias("weight"), F.expr(p).alias("failed")) for c, g, p, s, w in CHECKS])

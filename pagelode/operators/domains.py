@@ -29,21 +29,50 @@ def cases(pairs: list[tuple[Column, object]], otherwise: object = None) -> Colum
     return reduce(lambda rest, pair: F.when(pair[0], F.lit(pair[1])).otherwise(rest), reversed(pairs), F.lit(otherwise))
 
 
+_ENTITY = "array<struct<roles:array<string>,vcardArray:array<string>>>"
+#: Labels under which text answers give a fact, in the order in which they are asked.
+WHOIS = {
+    "registrar": ("Registrar", "Sponsoring Registrar"), "registered": ("Creation Date", "Registered on", "Created on", "Created"), "updated": ("Updated Date", "Last updated"),
+    "expires": ("Registry Expiry Date", "Expiration Date", "Expiry date", "Expires on"), "dnssec": ("DNSSEC",),
+}
+
+
+def _card(card: Column, label: str) -> Column:
+    """The first text of a label in a vCard, [["fn", {}, "text", "Name"], ...]; of a list its first text."""
+    rows = F.from_json(card, "array<array<string>>")
+    value = F.get(F.filter(rows, lambda r: F.lower(F.get(r, 0)) == label), 0)
+    last = F.get(value, 3)
+    return F.nullif(F.trim(F.coalesce(F.get(F.from_json(F.when(F.startswith(last, F.lit("[")), last), "array<string>"), 0), last)), F.lit(""))
+
+
 def registrations(answers: DataFrame) -> DataFrame:
-    """(domain, source, registered, expires, statuses, registrar) of registry answers (domain, rdap, whois):
-    the JSON answer where there is one, else `Label: value` lines of the text answer."""
+    """(domain, source, registered, updated, expires, statuses, registrar, nameservers, dnssec) of registry
+    answers (domain, rdap, whois): the JSON answer where there is one, its registrar being the name, else
+    the organisation, of the entity with that role; else `Label: value` lines of the text answer."""
     events = F.from_json(F.get_json_object("rdap", "$.events"), "array<struct<eventAction:string,eventDate:string>>")
-    day = lambda action: F.to_date(F.substring(F.get(F.filter(events, lambda e: e["eventAction"] == action), 0)["eventDate"], 1, 10))
+    said = lambda *actions: F.get(F.filter(events, lambda e: F.lower(e["eventAction"]).isin(*actions)), 0)["eventDate"]
+    day = lambda text: F.coalesce(F.try_to_date(F.substring(text, 1, 10)), F.try_to_date(text, "d-MMM-yyyy"), F.try_to_date(F.regexp_extract(text, r"^(\d{1,2}-[A-Za-z]{3}-\d{4})", 1), "d-MMM-yyyy"))
     line = lambda label: F.nullif(F.trim(F.regexp_extract("whois", rf"(?im)^\s*{label}:[ \t]*([^\r\n]+)", 1)), F.lit(""))
+    first = lambda fact: F.coalesce(*[line(x) for x in WHOIS[fact]])
+    every = lambda label: F.regexp_extract_all("whois", F.lit(rf"(?im)^\s*(?:{label})\s*:[ \t]*(\S+)"), F.lit(1))
+    entities = F.from_json(F.get_json_object("rdap", "$.entities"), _ENTITY)
+    agent = F.get(F.filter(entities, lambda e: F.exists(e["roles"], lambda r: F.lower(r) == "registrar")), 0)
+    card = F.get(agent["vcardArray"], 1)
+    hosts = F.from_json(F.get_json_object("rdap", "$.nameservers"), "array<struct<ldhName:string,unicodeName:string>>")
+    signed = F.get_json_object("rdap", "$.secureDNS.delegationSigned")
+    names = lambda hs: F.array_join(F.array_distinct(F.filter(F.transform(hs, F.lower), lambda h: h != "")), ",")
     statuses = F.array_join(F.from_json(F.get_json_object("rdap", "$.status"), "array<string>"), ",")
-    listed = F.array_join(F.regexp_extract_all("whois", F.lit(r"(?im)^\s*Domain Status:[ \t]*(\S+)"), F.lit(1)), ",")
+    text_dnssec = F.lower(first("dnssec"))
     has = F.col("rdap").isNotNull()
     return answers.select(
         "domain", F.when(has, "rdap").when(F.col("whois").isNotNull(), "whois").otherwise("none").alias("source"),
-        F.when(has, day("registration")).otherwise(F.to_date(F.substring(line("Creation Date"), 1, 10))).alias("registered"),
-        F.when(has, day("expiration")).otherwise(F.to_date(F.substring(line("Registry Expiry Date"), 1, 10))).alias("expires"),
-        F.coalesce(F.when(has, statuses).otherwise(listed), F.lit("")).alias("statuses"),
-        F.when(has, F.get_json_object("rdap", "$.registrar")).otherwise(line("Registrar")).alias("registrar"),
+        F.when(has, day(said("registration"))).otherwise(day(first("registered"))).alias("registered"),
+        F.when(has, day(said("last changed", "last update"))).otherwise(day(first("updated"))).alias("updated"),
+        F.when(has, day(said("expiration"))).otherwise(day(first("expires"))).alias("expires"),
+        F.coalesce(F.when(has, statuses).otherwise(F.array_join(every("Domain Status|Status|state"), ",")), F.lit("")).alias("statuses"),
+        F.when(has, F.coalesce(_card(card, "fn"), _card(card, "org"))).otherwise(first("registrar")).alias("registrar"),
+        F.coalesce(F.when(has, names(F.transform(hosts, lambda h: F.coalesce(h["ldhName"], h["unicodeName"], F.lit(""))))).otherwise(names(every("Name Server"))), F.lit("")).alias("nameservers"),
+        F.when(has, F.when(signed == "true", "signed").when(signed == "false", "unsigned")).otherwise(F.when(text_dnssec.rlike("unsigned"), "unsigned").when(text_dnssec.rlike("signed"), "signed")).alias("dnssec"),
     )
 
 

@@ -99,9 +99,30 @@ def between(value: Column, good: float, poor: float) -> Column:
     return F.when(value.isNull(), None).when(value <= good, 100.0).when(value >= poor, 0.0).otherwise(line)
 
 
+#: The parts of a load's efficiency and their weights.
+EFFICIENCY = (("resource_part", 8), ("network_part", 6), ("rendering_part", 6))
+
+
+def efficiency(loads: DataFrame) -> DataFrame:
+    """loads (requests, bytes, static, cacheable, text, compressed, tasks, nodes) with resource_part, network_part
+    and rendering_part, 0 to 100 each: of requests and bytes, of cacheable and compressed shares, of long
+    tasks and the size of the document; null where what it needs wasn't measured."""
+    c, up = F.col, tx.half_up
+    within = lambda x: F.least(F.lit(100.0), F.greatest(F.lit(0.0), x))
+    resource = up((within(100 - (c("requests") - 20) * 1.1) + within(100 - (c("bytes") / 1024 - 400) / 40)) / 2)
+    cached = up(F.when(c("static") > 0, c("cacheable") / c("static")).otherwise(1.0) * 60)
+    packed = F.when(c("text") > 0, up(c("compressed") / c("text") * 40)).otherwise(0.0)
+    big = F.when(c("nodes") > 5000, 25).when(c("nodes") > 2000, 10).otherwise(0)
+    return loads.withColumns({
+        "resource_part": F.when((c("requests") > 0) & c("bytes").isNotNull(), resource), "network_part": F.when(c("static").isNotNull(), within(cached + packed)),
+        "rendering_part": F.when(c("tasks").isNotNull(), within(up(within(100 - (c("tasks") - 2) * 8)) - big)),
+    })
+
+
 def tool_score(loads: DataFrame) -> DataFrame:
-    """loads with (score, grade): the weighted mean of what was measured; null without any of lcp, inp, cls."""
-    parts = [(between(F.col(m), g, p), w) for m, w, g, p in PERFORMANCE if m in loads.columns]
+    """loads with (score, grade): the weighted mean of what was measured, the parts of efficiency() among it
+    where they are there; null without any of lcp, inp, cls."""
+    parts = [(between(F.col(m), g, p), w) for m, w, g, p in PERFORMANCE if m in loads.columns] + [(F.col(m), w) for m, w in EFFICIENCY if m in loads.columns]
     weight = sum((F.when(s.isNotNull(), w).otherwise(0) for s, w in parts[1:]), F.when(parts[0][0].isNotNull(), parts[0][1]).otherwise(0))
     total = sum((F.coalesce(s * w, F.lit(0.0)) for s, w in parts[1:]), F.coalesce(parts[0][0] * parts[0][1], F.lit(0.0)))
     core = F.coalesce(*[F.col(m).cast("double") for m in ("lcp", "inp", "cls") if m in loads.columns]).isNotNull()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,13 +56,18 @@ def derived(spark, sf, text):
     return spark.sql(text, si=sites(spark, sf))
 
 
+_ENTITY = "array<struct<roles:array<string>,handle:string,vcardArray:array<string>>>"
+_CARD = '[["version", {}, "text", "4.0"], ["fn", {}, "text", "Registrar One"], ["org", {}, "text", "Another name"]]'
+_ENTITIES = json.dumps([{"roles": ["registrant"], "vcardArray": ["vcard", _CARD.replace("Registrar One", "Someone")]}, {"roles": ["abuse", "Registrar"], "handle": "1", "vcardArray": ["vcard", _CARD]}])
+
+
 def answers(spark, sf):
     """Registry answers: JSON for two thirds of the sites, text for most others."""
     day = lambda c: F.date_format(F.date_add(F.lit("2010-01-01").cast("date"), c.cast("int")), "yyyy-MM-dd")
     first, last = day(F.col("m") % 4000), day(5000 + F.col("m") % 500)
     state = F.expr("CASE m % 5 WHEN 0 THEN 'clientHold' WHEN 1 THEN 'pendingDelete' ELSE 'ok' END")
     event = lambda action, when: F.struct(F.lit(action).alias("eventAction"), F.concat(when, F.lit("T00:00:00Z")).alias("eventDate"))
-    rdap = F.to_json(F.struct(F.array(event("expiration", last), event("registration", first)).alias("events"), F.array(state, F.lit("clientTransferProhibited")).alias("status"), F.lit("Registrar One").alias("registrar")))
+    rdap = F.to_json(F.struct(F.array(event("expiration", last), event("registration", first)).alias("events"), F.array(state, F.lit("clientTransferProhibited")).alias("status"), F.from_json(F.lit(_ENTITIES), _ENTITY).alias("entities")))
     whois = F.concat(F.lit("Domain Name: X\r\n   Creation Date: "), first, F.lit("T05:00:00Z\r\nRegistry Expiry Date: "), last, F.lit("T05:00:00Z\r\nRegistrar: Registrar Two \r\nDomain Status: "), state, F.lit(" https://example.org\r\nDomain Status: ok\r\n"))
     return sites(spark, sf).select(F.col("site").alias("domain"), F.when(F.col("m") % 3 < 2, rdap).alias("rdap"), F.when(F.col("m") % 6 != 5, whois).alias("whois"))
 
@@ -73,7 +80,7 @@ rn AS (SELECT domain, m, source, CASE WHEN source <> 'none' THEN a END AS regist
 
 @query(f"WITH {_REG} SELECT domain, source, registered, expires, statuses, registrar FROM rn")
 def registrations(spark: SparkSession, sf: str) -> DataFrame:
-    return dm.registrations(answers(spark, sf))
+    return dm.registrations(answers(spark, sf)).select("domain", "source", "registered", "expires", "statuses", "registrar")
 
 
 @query(f"""WITH {_REG}, {_RE}, z AS (SELECT DISTINCT domain FROM re WHERE type IN ('NS', 'SOA'))

@@ -256,6 +256,28 @@ def tool_scores(spark: SparkSession, sf: str) -> DataFrame:
     return pf.tool_score(spark.sql(_LOADS, ev=read_table(spark, sf, "events"))).select("load_id", "score", "grade")
 
 
+_FULL_LOADS = f"""SELECT l.*, CASE WHEN event_id % 6 <> 0 THEN value * 30 END AS fcp, event_id % 90 AS requests, CASE WHEN event_id % 5 <> 0 THEN value * 40000 END AS bytes, CASE WHEN event_id % 4 <> 0 THEN event_id % 8 END AS static, (event_id % 8) * 0.5 AS cacheable,
+ event_id % 9 AS text, (event_id % 9) * 0.25 AS compressed, CASE WHEN event_id % 3 <> 0 THEN event_id % 16 END AS tasks, event_id % 6000 AS nodes FROM ({_LOADS}) AS l JOIN {{ev}} AS e ON e.event_id = l.load_id"""
+_WITHIN = "least(100.0, greatest(0.0, {}))"
+
+
+def _half_up(x: str) -> str:
+    return f"floor(({x}) + 0.5)"
+
+
+@query(f"""WITH l AS ({_FULL_LOADS.replace('{ev}', 'events')}),
+p AS (SELECT *, CASE WHEN requests > 0 AND bytes IS NOT NULL THEN {_half_up(f"({_WITHIN.format('100 - (requests - 20) * 1.1')} + {_WITHIN.format('100 - (bytes / 1024 - 400) / 40')}) / 2")} END AS rp,
+ CASE WHEN static IS NOT NULL THEN {_WITHIN.format(_half_up("CASE WHEN static > 0 THEN CAST(cacheable AS DOUBLE) / static ELSE 1.0 END * 60") + " + CASE WHEN text > 0 THEN " + _half_up("CAST(compressed AS DOUBLE) / text * 40") + " ELSE 0 END")} END AS np,
+ CASE WHEN tasks IS NOT NULL THEN {_WITHIN.format(_half_up(_WITHIN.format('100 - (tasks - 2) * 8')) + " - CASE WHEN nodes > 5000 THEN 25 WHEN nodes > 2000 THEN 10 ELSE 0 END")} END AS dp FROM l),
+v AS (SELECT load_id, coalesce(lcp, inp, cls) IS NOT NULL AS core, x.s, x.w FROM p, LATERAL (VALUES ({_line('lcp', 2500, 4000)}, 20), ({_line('inp', 200, 500)}, 20), ({_line('cls', 0.1, 0.25)}, 15), ({_line('ttfb', 800, 1800)}, 8), ({_line('fcp', 1800, 3000)}, 8), ({_line('tbt', 200, 600)}, 9), (rp, 8), (np, 6), (dp, 6)) AS x(s, w)),
+m AS (SELECT load_id, CASE WHEN bool_and(core) THEN CAST(sum(s * w) AS DOUBLE) / sum(w) FILTER (s IS NOT NULL) END AS mean FROM v GROUP BY load_id)
+SELECT load_id, CAST(floor(mean + 0.5) AS DOUBLE) AS score, CASE WHEN mean >= 90 THEN 'Good' WHEN mean >= 50 THEN 'Needs Improvement' WHEN mean IS NOT NULL THEN 'Poor' END AS grade FROM m""")
+def full_tool_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """R9 with all nine parts."""
+    loads = spark.sql(_FULL_LOADS, ev=read_table(spark, sf, "events"))
+    return pf.tool_score(pf.efficiency(loads)).select("load_id", F.col("score").cast("double").alias("score"), "grade")
+
+
 _GUARD = "SELECT site, 30 AS known, c % 31 AS blocked, c % 5 = 0 AS wildcard, CASE WHEN c % 7 = 0 THEN 1 ELSE 0 END AS errors, c % 3 AS warnings, c % 2 = 0 AS enforced, c % 4 AS own_groups, c % 6 = 0 AS whole_site, c % 2 AS paths FROM {pg} WHERE n = 1"
 
 
