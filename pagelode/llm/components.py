@@ -1,35 +1,13 @@
-"""Connected components of a table of links, and the folder that cuts lineage."""
+"""Connected components of a table of links, beside what cuts lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelode.operators.lineage import checkpoint, shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is set only where none is: a temporary one in local mode, else
-    one in the warehouse."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        own = tempfile.mkdtemp() if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder of the session."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a compressed table in the checkpoint folder, for what would be large as a checkpoint."""
-    folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+__all__ = ["checkpoint", "components", "shared_folder", "stored"]
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
