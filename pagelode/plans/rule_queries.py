@@ -71,7 +71,8 @@ def robots_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return rb.conflicts(rules(spark, sf))
 
 
-@query(f"WITH {_S} SELECT site, CAST(2 AS BIGINT) AS explicit, CAST(8 AS BIGINT) AS wildcard, CAST(0 AS BIGINT) AS none FROM si")
+@query(f"""WITH {_S}, ag AS (SELECT DISTINCT site, agent FROM ru), x AS (SELECT site, count(*) AS named FROM ag JOIN bo ON lower(token) = agent GROUP BY site), y AS (SELECT site, bool_or(agent = '*') AS star FROM ag GROUP BY site)
+SELECT si.site, coalesce(named, 0) AS explicit, CASE WHEN star THEN {len(rb.BOTS)} - coalesce(named, 0) ELSE 0 END AS wildcard, CASE WHEN star THEN 0 ELSE {len(rb.BOTS)} - coalesce(named, 0) END AS none FROM si LEFT JOIN x ON x.site = si.site JOIN y ON y.site = si.site""")
 def crawler_coverage(spark: SparkSession, sf: str) -> DataFrame:
     r = rules(spark, sf)
     out = rb.coverage(r, r, bots(spark))
@@ -97,12 +98,12 @@ def robots_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _UA = f"""bo AS (SELECT *, row_number() OVER () - 1 AS i FROM (VALUES {', '.join(str(b) for b in rb.BOTS)}) AS t(token, organization, purpose)),
-ev AS (SELECT event_id, user_id, CASE WHEN user_id % 13 < 10 THEN (SELECT token FROM bo WHERE i = user_id % 13) WHEN user_id % 13 = 10 THEN 'xGPTBot' WHEN user_id % 13 = 11 THEN 'GPTBot) CCBot' ELSE 'Chrome' END AS t FROM events)"""
+ev AS (SELECT event_id, user_id, CASE WHEN user_id % {len(rb.BOTS) + 3} < {len(rb.BOTS)} THEN (SELECT token FROM bo WHERE i = user_id % {len(rb.BOTS) + 3}) WHEN user_id % {len(rb.BOTS) + 3} = {len(rb.BOTS)} THEN 'xGPTBot' WHEN user_id % {len(rb.BOTS) + 3} = {len(rb.BOTS) + 1} THEN 'GPTBot) CCBot' ELSE 'Chrome' END AS t FROM events)"""
 
 
 def agents(spark, sf):
     names = F.array(*[F.lit(b[0]) for b in rb.BOTS], F.lit("xGPTBot"), F.lit("GPTBot) CCBot"), F.lit("Chrome"))
-    ua = F.concat(F.lit("Mozilla/5.0 (compatible; "), F.get(names, (F.col("user_id") % 13).cast("int")), F.lit("/1.0)"))
+    ua = F.concat(F.lit("Mozilla/5.0 (compatible; "), F.get(names, (F.col("user_id") % (len(rb.BOTS) + 3)).cast("int")), F.lit("/1.0)"))
     return rb.match_agents(read_table(spark, sf, "events").select("event_id", "user_id", ua.alias("ua")), [b[0] for b in rb.BOTS])
 
 
