@@ -1,4 +1,4 @@
-"""Robots rules and crawler policy."""
+"""Robots rules and crawler policy."""
 
 from __future__ import annotations
 
@@ -64,6 +64,14 @@ def verdicts(rules: DataFrame, paths: DataFrame, bots: DataFrame) -> DataFrame:
     return told.select("site", "path", "token", verdict.alias("verdict"), F.coalesce("b.rule", F.lit("")).alias("rule"))
 
 
+def ai_access(rules: DataFrame, sites: DataFrame, bots: DataFrame) -> DataFrame:
+    """(site, token, state) by the rules that hold for a site's root: `blocked`, `mentioned` where a group names
+    the crawler and lets it in, else `allowed`, sites without rules among them (C21)."""
+    named = rules.select("site", F.col("agent")).distinct().join(bots.select("token", F.lower("token").alias("agent")), "agent").select("site", "token", F.lit(True).alias("named"))
+    told = verdicts(rules, sites.select("site", F.lit("/").alias("path")), bots).join(named, ["site", "token"], "left")
+    return told.select("site", "token", F.when(F.col("verdict") == "blocked", "blocked").when(F.col("named"), "mentioned").otherwise("allowed").alias("state"))
+
+
 def match_agents(log: DataFrame, tokens: list[str], ua: str = "ua") -> DataFrame:
     """log rows with (bots, token): how many tokens stand alone in the agent string, and the one if it
     is the only one; case counts."""

@@ -79,6 +79,14 @@ def crawler_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("site", *[F.col(c).cast("long").alias(c) for c in ("explicit", "wildcard", "none")])
 
 
+@query(f"""WITH {_S}, a AS (SELECT site, token, CASE WHEN lower(token) IN ('gptbot', 'ccbot') THEN lower(token) ELSE '*' END AS agent FROM si CROSS JOIN bo),
+m AS (SELECT a.site, token, a.agent, arg_max(type, (length(ru.path), type = 'allow')) AS type FROM a LEFT JOIN ru ON ru.site = a.site AND ru.agent = a.agent AND starts_with('/', ru.path) GROUP BY a.site, token, a.agent)
+SELECT site, token, CASE WHEN type = 'disallow' THEN 'blocked' WHEN agent <> '*' THEN 'mentioned' ELSE 'allowed' END AS state FROM m""")
+def ai_access(spark: SparkSession, sf: str) -> DataFrame:
+    r = rules(spark, sf)
+    return rb.ai_access(r, r.select("site").distinct(), bots(spark))
+
+
 def modes(spark, sf):
     n = read_table(spark, sf, "pages").groupBy(urls.site(F.col("url")).alias("site")).agg(F.count("*").alias("n"))
     return n.select("site", F.when(F.col("n") % 4 == 0, "open").when(F.col("n") % 4 == 1, "closed").when(F.col("n") % 4 == 2, "no_training").otherwise("none").alias("mode"))

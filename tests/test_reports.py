@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from pagelode.operators import classify, domains, profiles, reports
+from pagelode.operators import classify, domains, profiles, reports, robots
 
 COLUMNS = "category string, depth int, inlinks int, nav_linked boolean, footer_linked boolean, in_sitemap boolean, title string, word_count int, h1 string, h2_count int, canonical string, canonicalised boolean, params int, crumbs int, description string, og string"
 
@@ -67,3 +67,13 @@ def test_orders_and_files(spark):
     index = reports.sitemap_index(files).collect()
     assert [(r.site, r.body.count("<loc>"), r.body.index("sitemap-1") < r.body.index("sitemap-2")) for r in index] == [("a", 2, True)]
     assert [tuple(r) for r in reports.near_limit(files, 50).collect()] == [("a", 1, 99)]
+
+
+def test_ai_access(spark):
+    rules = spark.createDataFrame([("a", "*", "disallow", "/"), ("a", "gptbot", "allow", "/"), ("b", "*", "disallow", "/x"), ("b", "gptbot", "disallow", "/*"), ("b", "ccbot", "disallow", "/y")], "site string, agent string, type string, path string")
+    sites, bots = spark.createDataFrame([("a",), ("b",), ("c",)], "site string"), spark.createDataFrame([("GPTBot",), ("CCBot",), ("YouBot",)], "token string")
+    got = {(r.site, r.token): r.state for r in robots.ai_access(rules, sites, bots).collect()}
+    assert got == {
+        ("a", "GPTBot"): "mentioned", ("a", "CCBot"): "blocked", ("a", "YouBot"): "blocked", ("b", "GPTBot"): "blocked", ("b", "CCBot"): "mentioned", ("b", "YouBot"): "allowed",
+        ("c", "GPTBot"): "allowed", ("c", "CCBot"): "allowed", ("c", "YouBot"): "allowed",
+    }
