@@ -111,7 +111,7 @@ def picked_description(meta: Column, og: Column, paragraph: Column, longest: int
 
 def item_categories(section: Column, crumbs: Column) -> Column:
     """At most two: the article's section, and the breadcrumb before the last unless its name says nothing."""
-    names = F.filter(F.transform(F.coalesce(crumbs, F.array().cast("array<string>")), F.trim), lambda c: c != "")
+    names = F.filter(F.transform(F.coalesce(crumbs, F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c != "")
     above = F.when(F.size(names) >= 2, F.element_at(names, -2))
     usable = F.when(~above.rlike(NO_CATEGORY) & (F.length(above) <= LONGEST), above)
     return F.array_distinct(F.array_compact(F.array(F.nullif(section, F.lit("")), usable)))

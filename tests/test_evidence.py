@@ -120,3 +120,8 @@ def test_lines_that_are_no_bundles(spark):
     assert {r.key: r.error for r in read.collect()} == {1: "not JSON", 2: "not JSON", 3: "missing bundle", 4: "not JSON"}
     pages = spark.createDataFrame([("https://a.example/", "<p>x"), ("ftp://a", "<p>"), (None, "<p>"), ("http://b/", " "), ("http://b/", None), ("http://b/", "text")], "url string, html string")
     assert [r.error for r in se.page_errors(pages).collect()] == [None, "bad address", "bad address", "no body", "no body", "no markup"]
+
+
+def test_ads_txt_lines_of_one_digit(spark):
+    files = spark.createDataFrame([("a", "0\n1\n # 2\n")], "site string, body string")
+    assert [tuple(r) for r in se.ads_txt(files, "x").collect()] == [("a", True, 2, False)]

@@ -70,3 +70,9 @@ def test_font_and_image_issues(spark):
     assert {tuple(r) for r in found.collect()} == {("a", "1.png", "lazy above the fold", "high"), ("a", "1.png", "larger than shown", "high"), ("a", "1.png", "old format", "medium"), ("a", "2.webp", "no dimensions", "medium"), ("a", "4.gif", "old format", "medium")}
     every = fonts.unionByName(found.select("load_id", "issue", "severity", F.lit(1).cast("long").alias("affected")))
     assert [(r.rank, r.issue) for r in lp.ranked_issues(every).orderBy("rank").collect()] == [(1, "larger than shown"), (2, "lazy above the fold"), (3, "invisible text"), (4, "old format"), (5, "no dimensions"), (6, "many weights"), (7, "no display")]
+
+
+def test_category_names_keep_the_digits_of_their_place(spark):
+    """A lone trim handed to transform takes an element's index for the signs to trim."""
+    got = spark.range(1).select(fp.item_categories(F.lit(""), F.array(F.lit("fr"), F.lit("11111"))).alias("one"), fp.item_categories(F.lit(""), F.array(F.lit(" 0a "), F.lit("x"))).alias("two")).first()
+    assert (got.one, got.two) == (["fr"], ["0a"])
