@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelode.operators import hosts, request_chains, sitemaps, structured, vitals
+from pagelode.operators import pages as pg
 
 
 def test_longest_chains(spark):
@@ -129,3 +130,9 @@ def test_congestion_by_buckets(spark):
     assert [tuple(r) for r in got.collect()] == [("a", 1, 3, 180.0)]
     near = got._jdf.queryExecution().toString()
     assert "CartesianProduct" not in near and "NestedLoop" not in near and near.count("bucket") > 2
+
+
+def test_titles_by_spelling_or_case_aside(spark):
+    rows = spark.createDataFrame([("s", 1, "A b"), ("s", 2, "A b"), ("s", 3, "a b"), ("s", 4, "a b"), ("s", 5, "A B"), ("t", 6, "A b")], "site string, page_id long, title string")
+    assert {tuple(r) for r in pg.duplicates_of(rows, "title").collect()} == {("s", "a b", 5, 1)}
+    assert sorted(tuple(r) for r in pg.duplicates_of(rows, "title", spelled=True).collect()) == [("s", "a b", 2, 1), ("s", "a b", 2, 3)]
