@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +76,8 @@ def performance(loads: DataFrame) -> DataFrame:
     """loads with `score`: the mean of the measured metrics by weight; null without a core one."""
     parts = [(metric_score(F.col(m), m), w) for m, _, _, w in THRESHOLDS]
     total = sum((F.coalesce(s * w, F.lit(0.0)) for s, w in parts[1:]), F.coalesce(parts[0][0] * parts[0][1], F.lit(0.0)))
-    weight = sum((F.when(s.isNotNull(), w).otherwise(0.0) for s, w in parts[1:]), F.when(parts[0][0].isNotNull(), parts[0][1]).otherwise(0.0))
+    # whole hundredths, as sums of the fractions may pass or miss a half
+    weight = reduce(lambda a, b: a + b, [F.when(s.isNotNull(), round(100 * w)).otherwise(0) for s, w in parts]) / 100.0
     core = F.coalesce("lcp", "inp", "cls").isNotNull()
     return loads.withColumn("score", F.when(core, tx.half_up(total / weight)))
 

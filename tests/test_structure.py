@@ -136,3 +136,9 @@ def test_titles_by_spelling_or_case_aside(spark):
     rows = spark.createDataFrame([("s", 1, "A b"), ("s", 2, "A b"), ("s", 3, "a b"), ("s", 4, "a b"), ("s", 5, "A B"), ("t", 6, "A b")], "site string, page_id long, title string")
     assert {tuple(r) for r in pg.duplicates_of(rows, "title").collect()} == {("s", "a b", 5, 1)}
     assert sorted(tuple(r) for r in pg.duplicates_of(rows, "title", spelled=True).collect()) == [("s", "a b", 2, 1), ("s", "a b", 2, 3)]
+
+
+def test_scores_at_a_half(spark):
+    """68.85 of 0.9 is 76.5; a sum of the fractions for 0.9 would give 77 or 76 by their order."""
+    load = spark.createDataFrame([(2620.0, 595.0, 0.1, None)], "lcp double, inp double, cls double, ttfb double")
+    assert vitals.performance(load).first().score == 76.0
