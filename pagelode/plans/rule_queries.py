@@ -199,7 +199,7 @@ def finding_histograms(spark: SparkSession, sf: str) -> DataFrame:
 def importance(spark, sf):
     e = sq.edges(spark, sf)
     degree = lk.degrees(e, sq.features(spark, sf)).drop("site")
-    rows = facts(spark, sf).join(degree, "page_id").join(lk.click_depth(e, sq.homes(spark, sf)), "page_id", "left")
+    rows = facts(spark, sf).join(degree, "page_id").join(sq.depths(spark, sf, e), "page_id", "left")
     typed = rows.withColumn("page_type", F.expr(cl.PAGE_TYPE)).withColumn("depth", F.coalesce("depth", F.lit(9)))
     return typed.select("site", "page_id", "page_type", F.expr(cl.IMPORTANCE).cast("long").alias("importance"))
 

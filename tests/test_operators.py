@@ -327,3 +327,10 @@ def test_budget_and_shift_streams_keep_state_between_files(spark, tmp_path):
     for r in got:
         best[r.load_id] = max(best.get(r.load_id, 0), round(r.best, 4))
     assert best == {1: 0.3, 2: 0.2}
+
+
+def test_depth_within_some_clicks(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(5)] + [(0, 2)], "src long, dst long")
+    home = spark.createDataFrame([(0,)], "page_id long")
+    found = lambda most: {r.page_id: r.depth for r in links.click_depth(edges, home, most).collect()}
+    assert found(0) == {0: 0} and found(2) == {0: 0, 1: 1, 2: 1, 3: 2} and found(9) == found(None) == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 4}
