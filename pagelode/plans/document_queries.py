@@ -39,13 +39,12 @@ pr AS (SELECT a, b, common, {d.half_up('CAST(common AS DOUBLE) / (p.n + q.n - co
 
 
 def pairs(spark, sf):
-    reps = nd.representatives(docs(spark, sf), "doc_id", "text").where("doc_id = rep")
-    return nd.jaccard_pairs(nd.shingle_sets(reps, "doc_id", "normal"), "doc_id")
+    return nd.jaccard_pairs(nd.distinct_sets(docs(spark, sf), "doc_id", "text"), "doc_id")
 
 
 @query(f"WITH {_REPS} SELECT doc_id, rep FROM rp")
 def exact_copies(spark: SparkSession, sf: str) -> DataFrame:
-    return nd.representatives(docs(spark, sf), "doc_id", "text").select("doc_id", "rep")
+    return nd.representatives(docs(spark, sf), "doc_id", "text")
 
 
 @query(f"WITH {_PAIRS} SELECT * FROM pr")
