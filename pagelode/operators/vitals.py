@@ -14,9 +14,9 @@ GAP_MS, OPEN_MS = 1000, 5000
 THRESHOLDS = (("lcp", 2500.0, 4000.0, 0.35), ("inp", 200.0, 500.0, 0.3), ("cls", 0.1, 0.25, 0.25), ("ttfb", 800.0, 1800.0, 0.1))
 
 
-def shift_windows(loads: DataFrame, shifts: str = "shifts") -> DataFrame:
-    """loads with `cls`: the largest sum of a session window over shifts (start, duration, value). A
-    window ends when the gap to the next shift is over GAP_MS and it has been open over OPEN_MS."""
+def largest_window(shifts: Column) -> Column:
+    """The largest sum of a session window over shifts (start, duration, value). A window ends when the gap
+    to the next shift is over GAP_MS and it has been open over OPEN_MS."""
     empty = F.struct(*[F.lit(0.0).alias(c) for c in ("begin", "end", "sum", "best")], F.lit(False).alias("open"))
 
     def step(s, x):
@@ -24,7 +24,12 @@ def shift_windows(loads: DataFrame, shifts: str = "shifts") -> DataFrame:
         end, total = x["start"] + F.coalesce(x["duration"], F.lit(0.0)), F.when(split, x["value"]).otherwise(s["sum"] + x["value"])
         return F.struct(F.when(split, x["start"]).otherwise(s["begin"]).alias("begin"), F.when(split, end).otherwise(F.greatest(s["end"], end)).alias("end"), total.alias("sum"), F.greatest(s["best"], total).alias("best"), F.lit(True).alias("open"))
 
-    return loads.withColumn("cls", tx.half_up(F.aggregate(F.array_sort(shifts), empty, step)["best"], 4))
+    return F.aggregate(F.array_sort(shifts), empty, step)["best"]
+
+
+def shift_windows(loads: DataFrame, shifts: str = "shifts") -> DataFrame:
+    """loads with `cls`, the largest window of their shifts."""
+    return loads.withColumn("cls", tx.half_up(largest_window(F.col(shifts)), 4))
 
 
 def worst_interaction(interactions: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ def stream_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(ORACLES["layout_shift"])
 def stream_layout_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """The windows of layout_shift by a stream that keeps each load's open window."""
+    """The windows of layout_shift by a stream that keeps each load's shifts."""
     ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', ts)").cast("double")
     e = st.read_events(spark, sf).select(F.expr(_LOAD).cast("long").alias("load_id"), (F.floor(ms / 1000) % 86400).cast("double").alias("start"), (F.col("event_id") % 40).cast("double").alias("duration"), (F.col("value") / 1000).alias("value"))
-    return st.drain(st.shift_stream(e), "stream_layout_shift", "update").groupBy("load_id").agg(tx.half_up(F.max("best"), 4).alias("cls"))
+    return st.drain(st.shift_stream(e), "stream_layout_shift", "update", "load_id").select("load_id", tx.half_up(F.col("best"), 4).alias("cls"))

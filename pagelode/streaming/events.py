@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelode.operators.lineage import shared_folder
-from pagelode.operators.vitals import GAP_MS, OPEN_MS
+from pagelode.operators.vitals import largest_window
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,14 +31,18 @@ def keep_batches(folder: str, mode: str) -> Callable[[DataFrame, int], None]:
     return put
 
 
-def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """The rows of a stream once all that is there is read, kept as a table in the shared folder."""
+def drain(stream: DataFrame, name: str, mode: str, key: str | None = None) -> DataFrame:
+    """The rows of a stream once all that is there is read, kept as a table in the shared folder; with `key`,
+    of each key the row of the last batch."""
     spark, folder = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
     put = keep_batches(f"{folder}/rows", mode)
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").drop("batch")
+    rows = spark.read.parquet(f"{folder}/rows")
+    if key is not None:
+        return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in stream.columns if c != key]), "batch").alias("last")).select(key, "last.*")
+    return rows.drop("batch")
 
 
 def vitals_by_window(events: DataFrame, width: str) -> DataFrame:
@@ -121,18 +125,7 @@ def budget_stream(events: DataFrame, most: int, value: float) -> DataFrame:
 
 def shift_stream(shifts: DataFrame) -> DataFrame:
     """T2, layout shifts (load_id, start, duration, value) as a stream: (load_id, best) of each load that a batch
-    touches, the largest sum of a window so far. The open window is the state; a gap over GAP_MS after
-    OPEN_MS ends it. Shifts of one batch are taken in time order; those of a later batch come after."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begin, end, total, best = state.get if state.exists else (None, 0.0, 0.0, 0.0)
-        frame = pd.concat(frames).fillna({"duration": 0.0}).sort_values(["start", "duration", "value"])
-        for start, duration, value in zip(frame["start"], frame["duration"], frame["value"]):
-            if begin is None or start - end > GAP_MS and end - begin > OPEN_MS:
-                begin, end, total = start, start, 0.0
-            end, total = max(end, start + duration), total + value
-            best = max(best, total)
-        state.update((float(begin), float(end), float(total), float(best)))
-        yield pd.DataFrame({"load_id": [key[0]], "best": [best]})
-
-    return shifts.groupBy("load_id").applyInPandasWithState(run, "load_id long, best double", "begin double, end double, total double, best double", "update", GroupStateTimeout.NoTimeout)
+    touches, the largest sum of a window so far. The state is the load's shifts, so that they count in time
+    order whatever batch brings them; no load costs a call of its own."""
+    shift = F.struct("start", F.coalesce("duration", F.lit(0.0)).alias("duration"), "value")
+    return shifts.groupBy("load_id").agg(F.collect_list(shift).alias("shifts")).select("load_id", largest_window(F.col("shifts")).alias("best"))

@@ -347,6 +347,15 @@ def test_budget_and_shift_streams_keep_state_between_files(spark, tmp_path):
     assert best == {1: 0.3, 2: 0.2}
 
 
+def test_shifts_of_a_later_batch_count_in_time_order(spark, tmp_path):
+    schema = "load_id long, start double, duration double, value double"
+    for k, part in enumerate([[(1, 4000.0, 0.0, 0.1), (1, 6000.0, 0.0, 0.2), (2, 0.0, 0.0, 0.1)], [(1, 0.0, 0.0, 0.1), (1, 8000.0, 0.0, 0.05)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/[01]")
+    # 0, 4000 and 6000 are one window of 0.4, as it is open over 5 s only then, and 8000 is another
+    assert {r.load_id: round(r.best, 4) for r in st.drain(st.shift_stream(stream), "shifts", "update", "load_id").collect()} == {1: 0.4, 2: 0.1}
+
+
 def test_depth_within_some_clicks(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(5)] + [(0, 2)], "src long, dst long")
     home = spark.createDataFrame([(0,)], "page_id long")
