@@ -61,7 +61,9 @@ ev AS (SELECT f.page_id, f.site, f.url, f.main, {d.visible('f.html')} AS visible
 
 
 def evidence(spark, sf):
-    return au.evidence(pq.typed(spark, sf), au.markup(read_table(spark, sf, "pages")))
+    """Only what an audit below asks for, as the operator writes what it is given."""
+    typed = pq.typed(spark, sf).select("page_id", "site", "main_text", "visible_text", "word_count", "paragraphs", "headings", "page_type")
+    return au.evidence(typed, au.markup(read_table(spark, sf, "pages")).select("page_id", "heads", "author", "cited"))
 
 
 @query(f"""WITH {_EV}, x AS (SELECT *, CASE WHEN n >= 800 THEN 2 WHEN n >= 500 THEN 1 ELSE 0 END + CASE WHEN u >= 220 THEN 2 WHEN u >= 160 THEN 1 ELSE 0 END + CASE WHEN paras >= 6 THEN 1 WHEN paras >= 4 THEN 0.5 ELSE 0 END

@@ -100,6 +100,18 @@ def test_clusters_of_a_chain_in_any_order(spark, monkeypatch):
     assert {(r.node, r.cluster) for r in neardup.clusters(pairs).collect()} == {(n, "n0000") for n in names} | {("x", "x")}
 
 
+def test_texts_are_split_once_and_html_is_parsed_once(spark):
+    rows = spark.createDataFrame([(1, "s", "https://s/a", "the garden tools list garden tools list garden tools list", "garden", "content", 9), (2, "s", "https://s/b", "", "", "content", 0), (3, "s", "https://s/c", None, None, "content", 0)], "page_id long, site string, url string, main_text string, visible_text string, page_type string, word_count int")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    phrases = pages.repeated_phrases(rows, 3)
+    assert plan(phrases).count("regexp_extract_all") == 1
+    assert {tuple(r) for r in phrases.collect()} == {(1, "garden tools list", 3)}
+    html = spark.createDataFrame([(k, "<h1>Garden</h1>") for k in (1, 2, 3)], "page_id long, html string")
+    evidence = au.evidence(rows.withColumns({c: F.lit(1) for c in ('paragraphs', 'headings')}), au.markup(html))
+    assert "html" not in plan(evidence)
+    assert {(r.page_id, r.unique_words, r.phrase4, r.keyword, tuple(r.heads)) for r in evidence.collect()} == {(1, 3, 0, "garden", ("garden",)), (2, 0, 0, None, ("garden",)), (3, 0, 0, None, ("garden",))}
+
+
 def test_jaccard_pairs_equal_all_pairs(spark):
     import random
 
