@@ -373,3 +373,16 @@ def test_depth_within_some_clicks(spark):
     home = spark.createDataFrame([(0,)], "page_id long")
     found = lambda most: {r.page_id: r.depth for r in links.click_depth(edges, home, most).collect()}
     assert found(0) == {0: 0} and found(2) == {0: 0, 1: 1, 2: 1, 3: 2} and found(9) == found(None) == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 4}
+
+
+def test_sentences_of_a_long_text_without_an_end(spark):
+    import time
+
+    from pagelode.functions import text as tx
+
+    long = "word " * 60_000
+    rows = spark.createDataFrame([(1, f"A b.\nC d?! e{long}"), (2, long), (3, "..."), (4, ""), (5, None), (6, "a. ")], "k int, t string").repartition(1)
+    began = time.time()
+    got = {r.k: r.s for r in rows.select("k", tx.sentences(F.col("t")).alias("s")).collect()}
+    assert got == {1: ["A b.", "\nC d?!"], 2: [long], 3: ["..."], 4: [], 5: [], 6: ["a."]}
+    assert time.time() - began < 20
