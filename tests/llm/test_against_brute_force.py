@@ -399,3 +399,19 @@ def test_quality_scores_of_texts(spark):
     tail = spark.createDataFrame([(1, "plain words here " * 5000), (2, "plain words here " * 5000 + "$ 1 " * 20000)], "doc_id long, text string")
     a, b = (r.score for r in quality_trees.score(tail, trees).orderBy("doc_id").collect())
     assert a != b
+
+
+@pytest.mark.parametrize("together", [8_192, 48])
+def test_edited_copies_of_a_passage_that_many_hold_lose_no_link(spark, monkeypatch, together):
+    monkeypatch.setattr(compact_windows, "TOGETHER", together)
+    rng = random.Random(31)
+    passage, line, texts = words(rng, 90), words(rng, 24), []
+    for _ in range(120):
+        copy = [w if rng.random() > 0.04 else "edit" + words(rng, 1)[0] for w in passage]
+        texts.append(" ".join(words(rng, 20) + copy + words(rng, 20)))
+    texts += [" ".join(words(rng, 60) + line + words(rng, 60)) for _ in range(60)]
+    want = all_pairs(texts)
+    got, root = linked(spark, texts)
+    together = sum(i in root and root.get(i) == root.get(j) for i, j in want)
+    assert len(want) > 1_500 and together >= 0.98 * len(want), together / len(want)
+    assert {(r.doc_id, r.other) for r in got} <= set(want)
