@@ -136,7 +136,8 @@ e AS (SELECT DISTINCT url_key, href_key FROM al WHERE url_key <> href_key)
 SELECT g.cluster, any_value(g.pages) AS pages, (SELECT count(DISTINCT lang) FROM al JOIN g AS x ON x.url = al.url_key WHERE x.cluster = g.cluster) AS languages, (SELECT count(*) FROM e JOIN g AS x ON x.url = e.url_key WHERE x.cluster = g.cluster) AS links,
  any_value(g.pages) * (any_value(g.pages) - 1) - (SELECT count(*) FROM e JOIN g AS x ON x.url = e.url_key WHERE x.cluster = g.cluster) AS holes FROM g WHERE g.pages > 1 GROUP BY g.cluster""")
 def language_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return se.language_clusters(alternates(spark, sf))
+    """Pages that share an address count each, as in its SQL."""
+    return se.language_clusters(alternates(spark, sf), sq.pages(spark, sf).select(F.col("url").alias("url_key")))
 
 
 #: Facts of a site from its pages' own markup and text, in words of both engines; {pages} is (site, page_id, lang,

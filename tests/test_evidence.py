@@ -125,3 +125,17 @@ def test_lines_that_are_no_bundles(spark):
 def test_ads_txt_lines_of_one_digit(spark):
     files = spark.createDataFrame([("a", "0\n1\n # 2\n")], "site string, body string")
     assert [tuple(r) for r in se.ads_txt(files, "x").collect()] == [("a", True, 2, False)]
+
+
+def test_clusters_of_pages_that_share_an_address(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from pagelode.plans import evidence_queries as eq
+
+    one, two = "https://a.example/en/1", "https://www.a.example/de/2"
+    rows = list(enumerate([one, one, two, "https://a.example/fr/3", two, "https://b.example/en/", "https://b.example/en/", "https://c.example/en/", None, None], 1))
+    spark.createDataFrame([(k, url, "<p>") for k, url in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = {tuple(r) for r in eq.language_clusters(spark, str(tmp_path)).select("cluster", "pages", "languages", "links", "holes").collect()}
+    want = set(con.execute(f"SELECT cluster, pages, languages, links, holes FROM ({eq.ORACLES['language_clusters']})").fetchall())
+    assert got == want and ("https://b.example/en/", 2, 1, 0, 2) in got and any(r[0] == one and r[1] == 5 for r in got)
