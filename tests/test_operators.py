@@ -375,6 +375,19 @@ def test_depth_within_some_clicks(spark):
     assert found(0) == {0: 0} and found(2) == {0: 0, 1: 1, 2: 1, 3: 2} and found(9) == found(None) == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 4}
 
 
+def test_queries_on_depth_follow_all_clicks(spark, tmp_path):
+    import duckdb
+
+    from pagelode.plans import site_queries as sq
+
+    n = 5_184  # the least page that is 13 clicks from the first, by the one after it
+    spark.range(1, n + 2).selectExpr("id AS page_id", "concat('https://a.example/', id) AS url", "'<p>' AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    row = sq.architecture_stats(spark, str(tmp_path)).collect()
+    assert [r.max_depth for r in row] == [13] and [tuple(r) for r in row] == con.execute(sq.ORACLES["architecture_stats"]).fetchall()
+
+
 def test_sentences_of_a_long_text_without_an_end(spark):
     import time
 
