@@ -386,6 +386,8 @@ def test_queries_on_depth_follow_all_clicks(spark, tmp_path):
     con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     row = sq.architecture_stats(spark, str(tmp_path)).collect()
     assert [r.max_depth for r in row] == [13] and [tuple(r) for r in row] == con.execute(sq.ORACLES["architecture_stats"]).fetchall()
+    issues = {tuple(r) for r in sq.link_position_issues(spark, str(tmp_path)).collect()}
+    assert ("a.example", n, "deep") in issues and issues == set(con.execute(sq.ORACLES["link_position_issues"]).fetchall())
 
 
 def test_sentences_of_a_long_text_without_an_end(spark):
