@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelode.functions import text as tx
 from pagelode.operators import neardup as nd
 from pagelode.operators import screens as sc
+from pagelode.operators.lineage import stored
 from pagelode.plans import duck as d
 from pagelode.sources.tables import read_table
 
@@ -93,10 +94,12 @@ def word_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS}, {_SIM} SELECT a, b, bit_count(xor(p.hi, q.hi)) + bit_count(xor(p.lo, q.lo)) AS hamming FROM pr JOIN sg AS p ON p.doc_id = a JOIN sg AS q ON q.doc_id = b")
 def near_dup_hamming(spark: SparkSession, sf: str) -> DataFrame:
-    h = nd.simhashes(docs(spark, sf), "doc_id", "text")
+    found = stored(pairs(spark, sf))
+    paired = stored(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    h = stored(nd.simhashes(docs(spark, sf).join(paired, "doc_id", "left_semi"), "doc_id", "text"))
     p, q = (h.toDF(c, f"hi_{c}", f"lo_{c}") for c in "ab")
     bits = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
-    return pairs(spark, sf).select("a", "b").join(p, "a").join(q, "b").select("a", "b", bits.alias("hamming"))
+    return found.select("a", "b").join(p, "a").join(q, "b").select("a", "b", bits.alias("hamming"))
 
 
 _SENT = "[x for x in [trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) for s in (CASE WHEN len(regexp_extract_all(text, '[^.!?]+[.!?]+')) > 0 THEN regexp_extract_all(text, '[^.!?]+[.!?]+') ELSE [text] END)] if length(x) >= 40]"
