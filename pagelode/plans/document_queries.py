@@ -77,8 +77,9 @@ def tfidf_top_terms(spark: SparkSession, sf: str) -> DataFrame:
 dt AS (SELECT a, b, sum(x.weight * y.weight) AS dot FROM pr JOIN tw AS x ON x.doc_id = a JOIN tw AS y ON y.doc_id = b AND x.word = y.word GROUP BY a, b)
 SELECT a, b, round(dot / (p.norm * q.norm), 6) AS cosine FROM dt JOIN nm AS p ON p.doc_id = a JOIN nm AS q ON q.doc_id = b""")
 def near_dup_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    w = nd.tf_idf(nd.term_counts(docs(spark, sf), "doc_id", "text"), "doc_id")
-    return nd.cosines(w, pairs(spark, sf), "doc_id").withColumn("cosine", F.round("cosine", 6))
+    found = stored(pairs(spark, sf))
+    w = stored(nd.paired_weights(docs(spark, sf), found, "doc_id", "text"))
+    return nd.cosines(w, found, "doc_id").withColumn("cosine", F.round("cosine", 6))
 
 
 _SIM = f"""wd AS (SELECT doc_id, unnest({d.words('lower(text)')}) AS word FROM documents), wc AS (SELECT doc_id, word, count(*) AS n FROM wd GROUP BY ALL), dw AS (SELECT DISTINCT word FROM wc),
