@@ -415,3 +415,13 @@ def test_edited_copies_of_a_passage_that_many_hold_lose_no_link(spark, monkeypat
     together = sum(i in root and root.get(i) == root.get(j) for i, j in want)
     assert len(want) > 1_500 and together >= 0.98 * len(want), together / len(want)
     assert {(r.doc_id, r.other) for r in got} <= set(want)
+
+
+def test_all_pairs_of_a_passage_that_many_hold(spark):
+    rng = random.Random(32)
+    passage = words(rng, 70)
+    copies = [[w if rng.random() > 0.01 else "edit" + words(rng, 1)[0] for w in passage] for _ in range(48)]
+    texts = [" ".join(words(rng, 30) + copy + words(rng, 30)) for copy in copies] + [" ".join(words(rng, 130)) for _ in range(5)]
+    want = set(all_pairs(texts))
+    got = {(r.doc_id, r.other) for r in compact_windows.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(want) > 800 and got <= want and len(got) >= 0.98 * len(want), (len(got), len(want))
